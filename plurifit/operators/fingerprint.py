@@ -87,21 +87,20 @@ def _token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: text_key(t) % F.lit(PRIME).cast("bigint"))
 
 
-def dictionary_bits(structure: Column, keys: Sequence[str] | None = None, regex: bool = False) -> Column:
+def dictionary_bits(structure: str, keys: Sequence[str] | None = None, regex: bool = False) -> Column:
     """Position ``i`` is set when key ``i`` (from 1) occurs; position 0 stays unused."""
     keys = list(keys or default_keys())
     if len(keys) > WIDTHS["MACCS"] - 1:
         raise ValueError(f"at most {WIDTHS['MACCS'] - 1} keys, got {len(keys)}")
-    hits = [
-        F.when(structure.rlike(key) if regex else F.contains(structure, F.lit(key)), F.lit(i))
-        for i, key in enumerate(keys, start=1)
-    ]
-    return F.array_compact(F.array(*hits))
+    test = "rlike" if regex else "contains"
+    quoted = [key.replace("\\", "\\\\").replace("'", "\\'") for key in keys]
+    hits = ", ".join(f"IF({test}({structure}, '{key}'), {i}, NULL)" for i, key in enumerate(quoted, start=1))
+    return F.expr(f"array_compact(array({hits}))")
 
 
 def _with_dictionary(df: DataFrame) -> DataFrame:
     """Keys are looked for in the lower-case text, folded once per row."""
-    return df.withColumn("_lower", F.lower("structure")).withColumn("_MACCS", dictionary_bits(F.col("_lower")))
+    return df.withColumn("_lower", F.lower("structure")).withColumn("_MACCS", dictionary_bits("_lower"))
 
 
 def _with_tokens(df: DataFrame) -> DataFrame:

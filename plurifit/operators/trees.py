@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import pinned, pinned_table
@@ -26,35 +26,35 @@ LEVELS_PER_WRITE = 8
 ACTIVE_NODES = 200_000
 
 
-def _d(value: Column | str) -> Column:
-    return (F.col(value) if isinstance(value, str) else value).cast("double")
+def _gini(n1: str, n: str) -> str:
+    p = f"(double({n1}) / double({n}))"
+    return f"(2e0 * {p} * (1e0 - {p}))"
 
 
-def gini(n1: Column, n: Column) -> Column:
-    p = _d(n1) / _d(n)
-    return F.lit(2.0) * p * (F.lit(1.0) - p)
+def _entropy(n1: str, n: str) -> str:
+    p = f"(double({n1}) / double({n}))"
 
+    def part(x: str) -> str:
+        return f"CASE WHEN {x} <= 0e0 THEN 0e0 ELSE -{x} * log2({x}) END"
 
-def entropy(n1: Column, n: Column) -> Column:
-    p = _d(n1) / _d(n)
-    q = F.lit(1.0) - p
+    return f"({part(p)} + {part(f'(1e0 - {p})')})"
 
-    def part(x: Column) -> Column:
-        return F.when(x <= 0, F.lit(0.0)).otherwise(-x * F.log2(x))
 
-    return part(p) + part(q)
+IMPURITY = {"gini": _gini, "entropy": _entropy}
 
 
-IMPURITY = {"gini": gini, "entropy": entropy}
+def gain(criterion: str) -> str:
+    """Impurity of a node less that of its two sides, as SQL over ``n, n1, s, s1``.
 
-
-def gain(criterion: str, n: Column, n1: Column, s: Column, s1: Column) -> Column:
-    """Impurity of a node less that of its two sides (``s`` rows with the bit set)."""
+    ``s`` rows of the node have the bit set, ``s1`` of them are of class 1.
+    Expressions of this size are written as text: Spark parses one string where
+    the column API would make a call to the JVM for every operator.
+    """
     if criterion not in IMPURITY:
         raise ValueError(f"criterion is one of {list(IMPURITY)}, not {criterion!r}")
     measure = IMPURITY[criterion]
-    inside = (_d(s) * measure(s1, s) + (_d(n) - _d(s)) * measure(n1 - s1, n - s)) / _d(n)
-    return F.round(measure(n1, n) - inside, GAIN_DIGITS)
+    sides = f"double(s) * {measure('s1', 's')} + double(n - s) * {measure('(n1 - s1)', '(n - s)')}"
+    return f"round({measure('n1', 'n')} - ({sides}) / double(n), {GAIN_DIGITS})"
 
 
 def split_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -75,9 +75,7 @@ def split_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def split_scan(rows: DataFrame, by: Sequence[str], criterion: str = "gini") -> DataFrame:
     """Gain of every bit of every group."""
-    return split_counts(rows, by).withColumn(
-        "gain", gain(criterion, F.col("n"), F.col("n1"), F.col("s"), F.col("s1"))
-    )
+    return split_counts(rows, by).withColumn("gain", F.expr(gain(criterion)))
 
 
 def best_split(scanned: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -111,46 +109,41 @@ def _name(criterion: str, leaf: int) -> str:
     return f"best_{criterion}_{leaf}"
 
 
-def _level(rows: DataFrame, active: DataFrame, by: Sequence[str], rules: Mapping[tuple, int]) -> DataFrame:
+def _level(rows: DataFrame, active: DataFrame, small: bool, by: Sequence[str], rules: Mapping[tuple, int]) -> DataFrame:
     """Decisions of one level: ``(by…, rule, node, n, n1, v, v1, bit)``, ``bit`` null for a leaf."""
-    marked = F.explode(F.when(F.col("train"), F.array_prepend("bits", F.lit(-1))).otherwise(F.array(F.lit(-1))))
-    fits, positive = F.col("train"), F.col("hit") == 1
-
-    def count(condition: Column) -> Column:
-        return F.count(F.when(condition, F.lit(1)))
-
-    counted = rows.select(*by, "node", "hit", "train", marked.alias("bit")).groupBy(*by, "node", "bit").agg(
-        count(fits).alias("s"), count(fits & positive).alias("s1"),
-        count(~fits).alias("v"), count(~fits & positive).alias("v1"),
-    )
-    totals = counted.filter("bit = -1").select(
-        *by, "node", F.col("s").alias("n"), F.col("s1").alias("n1"), "v", "v1"
+    keys = ", ".join([*by, "node"])
+    counted = rows.selectExpr(
+        *by, "node", "hit", "train", "explode(IF(train, array_prepend(bits, -1), array(-1))) AS bit"
+    ).groupBy(*by, "node", "bit").agg(
+        F.expr("count_if(train) AS s"), F.expr("count_if(train AND hit = 1) AS s1"),
+        F.expr("count_if(NOT train) AS v"), F.expr("count_if(NOT train AND hit = 1) AS v1"),
     )
-    scanned = counted.filter("bit >= 0").select(*by, "node", "bit", "s", "s1").join(totals, [*by, "node"])
-    s, s1, n, n1 = (F.col(c) for c in ("s", "s1", "n", "n1"))
+    # node totals next to every bit; a node has at most one row per bit
+    totals = [
+        f"max(CASE WHEN bit = -1 THEN {c} END) OVER (PARTITION BY {keys}) AS {name}"
+        for c, name in (("s", "n"), ("s1", "n1"), ("v", "v"), ("v1", "v1"))
+    ]
+    scanned = counted.selectExpr(*by, "node", "bit", "s", "s1", *totals)
     wanted = sorted({(criterion, leaf) for criterion, _, leaf in rules})
-    for criterion in sorted({c for c, _ in wanted}):
-        scanned = scanned.withColumn(f"_gain_{criterion}", F.when(s < n, gain(criterion, n, n1, s, s1)))
+    gains = [
+        f"CASE WHEN bit >= 0 AND s > 0 AND s < n THEN {gain(c)} END AS gain_{c}" for c in sorted({c for c, _ in wanted})
+    ]
     tops = [
-        F.max(F.when(
-            (s >= leaf) & (n - s >= leaf),
-            F.struct(F.col(f"_gain_{criterion}").alias("g"), (-F.col("bit")).alias("neg")),
-        )).alias(_name(criterion, leaf))
+        f"max(CASE WHEN bit >= 0 AND s >= {leaf} AND n - s >= {leaf} THEN struct(gain_{criterion} AS g, -bit AS neg) END)"
+        f" AS {_name(criterion, leaf)}"
         for criterion, leaf in wanted
     ]
-    best = scanned.filter("s < n").groupBy(*by, "node").agg(*tops)
-    nodes = totals.join(best, [*by, "node"], "left")
-    decided = active.join(nodes, [*by, "node"])
-    pick = F.lit(None).cast("int")
-    need = F.lit(None).cast("int")
-    for (criterion, rows_needed, leaf), number in rules.items():
-        mine = F.col("rule") == number
-        pick = F.when(mine, -F.col(_name(criterion, leaf))["neg"]).otherwise(pick)
-        need = F.when(mine, F.lit(rows_needed)).otherwise(need)
-    mixed = (n1 > 0) & (n1 < n)
-    return decided.select(
+    nodes = scanned.selectExpr("*", *gains).groupBy(*by, "node").agg(
+        *[F.expr(f"first({c}) AS {c}") for c in ("n", "n1", "v", "v1")], *[F.expr(t) for t in tops]
+    )
+    decided = nodes.join(F.broadcast(active) if small else active, [*by, "node"])
+    pick = " ".join(
+        f"WHEN rule = {number} AND n >= {need} THEN -{_name(criterion, leaf)}.neg"
+        for (criterion, need, leaf), number in rules.items()
+    )
+    return decided.selectExpr(
         *by, "rule", "node", "n", "n1", "v", "v1",
-        F.when(mixed & (n >= need), pick).cast("int").alias("bit"),
+        f"CASE WHEN n1 > 0 AND n1 < n THEN CASE {pick} END END AS bit",
     )
 
 
@@ -184,11 +177,11 @@ def grow(
     by = list(by)
     base = rows.select(*by, "hit", "bits", "train").withColumn("node", F.lit(ROOT))
     numbers = F.explode(F.array(*[F.lit(i) for i in rules.values()]))
-    active = base.select(*by, "node").distinct().withColumn("rule", numbers)
-    levels = []
-    depth = 0
+    active, small = pinned(base.select(*by, "node").distinct().withColumn("rule", numbers), ACTIVE_NODES)
+    levels, depth, keys = [], 0, [*by, "node", "bit"]
     while True:
-        decided, small = pinned(_level(base, active, by, rules), ACTIVE_NODES)
+        decided, table = pinned_table(_level(base, active, small, by, rules), ACTIVE_NODES)
+        small = table is not None
         if not small:
             decided = materialise(decided, "nodes")
         if max_depth is not None and depth >= max_depth:
@@ -196,10 +189,17 @@ def grow(
             break
         levels.append(decided.withColumn("depth", F.lit(depth)))
         going = decided.filter("bit IS NOT NULL")
-        splits, table = pinned_table(going.select(*by, "node", "bit").distinct(), ACTIVE_NODES)
-        if table is not None and table.num_rows == 0:
-            break
-        base = _descend(base, splits, table is not None, by)
+        if small:
+            # literal rows already: no job for so little
+            unique = table.filter(table.column("bit").is_valid()).select(keys).group_by(keys).aggregate([])
+            if unique.num_rows == 0:
+                break
+            splits = rows.sparkSession.createDataFrame(unique, going.select(*keys).schema)
+        else:
+            splits = going.select(*keys).distinct()
+            if splits.isEmpty():
+                break
+        base = _descend(base, splits, small, by)
         sides = F.explode(F.array(F.lit(0), F.lit(1)))
         active = going.withColumn("_side", sides).select(
             *by, child(F.col("node"), F.col("bit"), F.col("_side")).alias("node"), "rule"
@@ -233,11 +233,10 @@ def leaf_scores(nodes: DataFrame, by: Sequence[str], params: Sequence[Mapping],
         entries.append((rules[key], p.get("max_depth"), i))
     spark = nodes.sparkSession
     plan = spark.createDataFrame(entries, "rule int, limit int, param_idx int")  # one row per candidate
-    leaf, limit, depth = F.col("bit").isNull(), F.col("limit"), F.col("depth")
-    at_end = F.when(limit.isNull(), leaf).otherwise((depth == limit) | (leaf & (depth < limit)))
+    at_end = F.expr("CASE WHEN limit IS NULL THEN bit IS NULL ELSE depth = limit OR (bit IS NULL AND depth < limit) END")
     return (
         nodes.join(F.broadcast(plan), "rule").filter(at_end)
-        .groupBy(*by, "param_idx", (_d("n1") / _d("n")).alias("score"), (2 * F.col("n1") > F.col("n")).cast("int").alias("prediction"))
+        .groupBy(*by, "param_idx", F.expr("double(n1) / double(n) AS score"), F.expr("int(2 * n1 > n) AS prediction"))
         .agg(F.sum("v1").alias("pos"), (F.sum("v") - F.sum("v1")).alias("neg"))
     )
 
@@ -254,7 +253,7 @@ def predict(rows: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFr
     for depth in range(deepest + 1):
         level, small = pinned(
             nodes.filter(F.col("depth") == depth).select(
-                *by, F.col("node").alias("_node"), F.col("bit").alias("_bit"), (_d("n1") / _d("n")).alias("_p")
+                *by, F.col("node").alias("_node"), F.col("bit").alias("_bit"), F.expr("double(n1) / double(n) AS _p")
             ),
             ACTIVE_NODES,
         )
