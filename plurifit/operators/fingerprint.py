@@ -70,9 +70,10 @@ def _grow(shorter: Column, values: Column, n: int) -> Column:
 
 def _runs(df: DataFrame, values: str, upto: int, stem: str) -> DataFrame:
     """Adds ``<stem>1 … <stem><upto>``, hashes of all runs of each length."""
-    out = df.withColumn(f"{stem}1", F.col(values))
+    out = df if f"{stem}1" in df.columns else df.withColumn(f"{stem}1", F.col(values))
     for n in range(2, upto + 1):
-        out = out.withColumn(f"{stem}{n}", _grow(F.col(f"{stem}{n - 1}"), F.col(values), n))
+        if f"{stem}{n}" not in out.columns:
+            out = out.withColumn(f"{stem}{n}", _grow(F.col(f"{stem}{n - 1}"), F.col(values), n))
     return out
 
 
@@ -110,37 +111,28 @@ def _with_tokens(df: DataFrame) -> DataFrame:
 
 
 def _with_neighbourhood(df: DataFrame) -> DataFrame:
-    """Windows of radius 0, 1 and 2 around every token, clipped at the ends."""
+    """Windows of radius 0, 1 and 2 around every token, clipped at the ends.
+
+    Inside a text the windows are its runs of 1, 3 and 5 tokens; at the ends they
+    are the shorter runs that start or finish it.
+    """
     width = WIDTHS["Morgan"]
-    out = _with_tokens(df)
+    out = _runs(_with_tokens(df), "_tok", 2 * RADIUS + 1, "_path")
+
+    def end(length: int, place: int) -> Column:
+        """First (1) or last (-1) run of so many tokens; the whole of a shorter text."""
+        return F.coalesce(*[F.try_element_at(f"_path{n}", F.lit(place)) for n in range(length, 0, -1)])
+
     parts = []
     for radius in range(RADIUS + 1):
-        name = f"_env{radius}"
-        full = _runs_at(radius)
-        out = out.withColumn(name, full)
-        parts.append(F.array_distinct(_positions(name, radius, width)))
+        clipped = [end(n, place) for n in range(radius + 1, 2 * radius + 1) for place in (1, -1)]
+        if clipped:
+            out = out.withColumn(f"_ends{radius}", F.array(*clipped))
+            parts.append(_positions(f"_ends{radius}", radius, width))
+        parts.append(F.array_distinct(_positions(f"_path{2 * radius + 1}", radius, width)))
     return out.withColumn("_Morgan", _sorted_bits(F.concat(*parts)))
 
 
-def _runs_at(radius: int) -> Column:
-    """Hash of the window around each token, folded from left to right."""
-    tokens = F.col("_tok")
-    if radius == 0:
-        return tokens
-    return F.transform(
-        tokens,
-        lambda t, i: F.aggregate(
-            F.slice(
-                tokens,
-                F.greatest(i - radius, F.lit(0)) + 1,
-                F.least(i + radius, F.size(tokens) - 1) - F.greatest(i - radius, F.lit(0)) + 1,
-            ),
-            F.lit(0).cast("bigint"),
-            _step,
-        ),
-    )
-
-
 def _with_paths(df: DataFrame) -> DataFrame:
     """Runs of one to seven tokens."""
     out = _runs(_with_tokens(df), "_tok", MAX_PATH, "_path")
@@ -151,8 +143,7 @@ def _with_layers(df: DataFrame) -> DataFrame:
     """Runs of one to three tokens seen through three layers: as they are, case folded, by length."""
     width = WIDTHS["Layered"]
     out = _with_tokens(df)
-    if "_path1" not in out.columns:
-        out = _runs(out, "_tok", LAYER_PATH, "_path")
+    out = _runs(out, "_tok", LAYER_PATH, "_path")
     if "_lower" not in out.columns:
         out = out.withColumn("_lower", F.lower("structure"))
     out = out.withColumn("_folded", _token_hashes(F.split("_lower", " ", -1)))

@@ -171,14 +171,15 @@ def grow(
     null for a leaf; ``n, n1`` count training rows, ``v, v1`` the others.
 
     Growth stops when no node can be split or at ``max_depth``.  Node tables are
-    small and kept as literal rows while they are, else as files; the moved rows
-    are written out every few levels to keep plans short.
+    small and kept as literal rows while they are, else as files.  Moved rows are
+    cached for one level, so each level moves them one step, and written out every
+    few levels to keep plans short; a lost executor redoes the steps since then.
     """
     by = list(by)
     base = rows.select(*by, "hit", "bits", "train").withColumn("node", F.lit(ROOT))
     numbers = F.explode(F.array(*[F.lit(i) for i in rules.values()]))
     active, small = pinned(base.select(*by, "node").distinct().withColumn("rule", numbers), ACTIVE_NODES)
-    levels, depth, keys = [], 0, [*by, "node", "bit"]
+    levels, cached, depth, keys = [], [], 0, [*by, "node", "bit"]
     while True:
         decided, table = pinned_table(_level(base, active, small, by, rules), ACTIVE_NODES)
         small = table is not None
@@ -199,14 +200,20 @@ def grow(
             splits = going.select(*keys).distinct()
             if splits.isEmpty():
                 break
-        base = _descend(base, splits, small, by)
+        base, spent = _descend(base, splits, small, by).persist(), base
         sides = F.explode(F.array(F.lit(0), F.lit(1)))
         active = going.withColumn("_side", sides).select(
             *by, child(F.col("node"), F.col("bit"), F.col("_side")).alias("node"), "rule"
         )
         depth += 1
         if depth % LEVELS_PER_WRITE == 0:
-            base = materialise(base, "rows")
+            moved, base = base, materialise(base, "rows")
+            moved.unpersist()
+        cached.append(spent)
+        while len(cached) > 1:  # the level before last is in the cache of the last one
+            cached.pop(0).unpersist()
+    for frame in [*cached, base]:
+        frame.unpersist()
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -305,7 +305,7 @@ def join_attach_structure(spark, sf):
 @query
 def join_knn_hamming(spark, sf):
     """Neighbours inside the smaller class of both assays."""
-    small = balance.minority(features(spark, sf, hits(spark, sf)), BY)
+    small = materialise(balance.minority(features(spark, sf, hits(spark, sf)), BY), "small")
     return neighbours.ranked(neighbours.knn_hamming(small, BY), BY)
 
 
@@ -435,7 +435,7 @@ def top_best_candidate(spark, sf):
 
 @query
 def set_union_synthetic(spark, sf):
-    return balance.balanced(features(spark, sf, hits(spark, sf)), BY).select(
+    return balance.balanced(materialise(features(spark, sf, hits(spark, sf)), "x"), BY).select(
         "assay", "row_id", "hit", "is_synthetic", listed("bits")
     )
 
@@ -564,7 +564,7 @@ def smp_repeated_holdout(spark, sf):
 
 @query
 def smp_smote_bits(spark, sf):
-    made = balance.synthetic_rows(features(spark, sf, hits(spark, sf)), BY)
+    made = balance.synthetic_rows(materialise(features(spark, sf, hits(spark, sf)), "x"), BY)
     return made.select("assay", "draw", "base_id", "neighbour_id", "hit", listed("bits"))
 
 
