@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import text_key
 from ..functions.sizing import broadcast_if_small, pinned_table
+from ..session import materialise
 from .fingerprint import WORD_BITS, packed
 from .kernels import nearest_in_blocks
 
@@ -55,16 +56,16 @@ def _across_blocks(vectors, span, by, keep, unpack, block_rows, schema) -> DataF
         sliced.groupBy(*by, "slice").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("_blocks"))
     )
     spread = text_key(F.concat_ws(",", F.col("words").cast("array<string>")))
-    blocks = (
+    blocks = materialise(
         sliced.join(filled, [*by, "slice"])
         .withColumn("block", F.pmod(spread, F.col("_blocks")).cast("int"))
         .groupBy(*by, "slice", "block")
-        .agg(F.collect_list(F.struct("words", "ids", "norm")).alias("items"))  # about block_rows by construction
-        .persist()
+        .agg(F.collect_list(F.struct("words", "ids", "norm")).alias("items")),  # about block_rows by construction
+        "blocks",
     )
 
     # 3. inside each block
-    own = blocks.select(*by, "items").mapInArrow(nearest_in_blocks(by, keep, unpack, False), schema).persist()
+    own = materialise(blocks.select(*by, "items").mapInArrow(nearest_in_blocks(by, keep, unpack, False), schema), "own")
     bound = own.groupBy(*by, "q").agg(
         F.when(F.count(F.lit(1)) >= keep, F.max("d")).otherwise(F.lit(2**62)).alias("far")
     )
@@ -126,8 +127,7 @@ def knn(
         .groupBy(*by, "words")
         .agg(F.array_sort(F.collect_list("row_id")).alias("ids"), F.first("norm").alias("norm"))  # at most k + 1
     )
-    # read three times below and small beside the rows; recomputed if an executor is lost
-    vectors = vectors.persist()
+    vectors = materialise(vectors, "vectors")  # read three times below
 
     schema = T.StructType([*[df.schema[c] for c in by], *PAIR_FIELDS])
     span, table = pinned_table(vectors.groupBy(*by).agg(

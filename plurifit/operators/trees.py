@@ -99,12 +99,15 @@ def growth_rules(params: Sequence[Mapping]) -> dict[tuple, int]:
     """
     rules: dict[tuple, int] = {}
     for p in params:
-        leaf = p.get("min_samples_leaf", 1)
-        need = max(p.get("min_samples_split", 2), 2 * leaf)
-        rules.setdefault((p.get("criterion", "gini"), need, leaf), len(rules))
+        rules.setdefault(rule_of(p), len(rules))
     return rules
 
 
+def rule_of(params: Mapping) -> tuple:
+    leaf = params.get("min_samples_leaf", 1)
+    return params.get("criterion", "gini"), max(params.get("min_samples_split", 2), 2 * leaf), leaf
+
+
 def _name(criterion: str, leaf: int) -> str:
     return f"best_{criterion}_{leaf}"
 
@@ -228,6 +231,14 @@ def cut_off(nodes: DataFrame, depth: int | None) -> DataFrame:
     return nodes.filter((F.col("depth") == depth) | (leaf & (F.col("depth") < depth)))
 
 
+def pruned(nodes: DataFrame, depth: int | None) -> DataFrame:
+    """The whole tree, nodes at ``depth`` turned into leaves and deeper ones dropped."""
+    if depth is None:
+        return nodes
+    inner = F.when(F.col("depth") < depth, F.col("bit"))
+    return nodes.filter(F.col("depth") <= depth).withColumn("bit", inner)
+
+
 def leaf_scores(nodes: DataFrame, by: Sequence[str], params: Sequence[Mapping], rules: Mapping[tuple, int]) -> DataFrame:
     """Counted scores of every candidate: ``(by…, param_idx, score, prediction, pos, neg)``.
 
@@ -235,9 +246,7 @@ def leaf_scores(nodes: DataFrame, by: Sequence[str], params: Sequence[Mapping],
     """
     entries = []
     for i, p in enumerate(params):
-        leaf = p.get("min_samples_leaf", 1)
-        key = (p.get("criterion", "gini"), max(p.get("min_samples_split", 2), 2 * leaf), leaf)
-        entries.append((rules[key], p.get("max_depth"), i))
+        entries.append((rules[rule_of(p)], p.get("max_depth"), i))
     spark = nodes.sparkSession
     plan = spark.createDataFrame(entries, "rule int, limit int, param_idx int")  # one row per candidate
     at_end = F.expr("CASE WHEN limit IS NULL THEN bit IS NULL ELSE depth = limit OR (bit IS NULL AND depth < limit) END")

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import time_seed
+from ..operators import trees
 from ..operators.fingerprint import WIDTHS, fingerprints
 from ..operators.grid import GRIDS, expand
-from ..operators.metrics import METRICS, all_metrics, best_candidate, summarise
+from ..operators.metrics import METRICS, all_metrics, best_candidate, metrics_from_counts, summarise
 from ..operators.prepare import align, gate, labelled, min_support
 from ..operators.sampling import stratified_folds, train_test_split
 from ..session import materialise
 from ..sources.registry import save_model
-from .estimators import fit
+from .estimators import TreeFit, fit
 from .search import cross_validate, fold_parts
 
 RUN = ("assay", "fp")
@@ -56,6 +57,33 @@ def fit_final(
     return fitted, evaluate(fitted, test)
 
 
+def final_trees(train: DataFrame, test: DataFrame, chosen: Mapping[tuple, Mapping], params: Sequence[Mapping]) -> dict:
+    """Refit and test the chosen tree of every campaign in one growth over all of them.
+
+    Test rows ride along uncounted, so the metrics come from counts per leaf.
+    """
+    picked = sorted({won["param_idx"] for won in chosen.values()})
+    kinds = [params[i] for i in picked]
+    rules = trees.growth_rules(kinds)
+    limits = [p.get("max_depth") for p in kinds]
+    rows = train.select(*RUN, "hit", "bits", F.lit(True).alias("train")).unionByName(
+        test.select(*RUN, "hit", "bits", F.lit(False).alias("train"))
+    )
+    nodes = trees.grow(rows, RUN, rules, None if None in limits else max(limits))
+    wanted = train.sparkSession.createDataFrame(
+        [(*key, picked.index(won["param_idx"])) for key, won in chosen.items()], "assay string, fp string, param_idx int"
+    )
+    counted = trees.leaf_scores(nodes, RUN, kinds, rules).join(F.broadcast(wanted), [*RUN, "param_idx"])  # one row per campaign
+    tested = {(r["assay"], r["fp"]): r for r in metrics_from_counts(counted, RUN).collect()}
+    out = {}
+    for key, won in chosen.items():
+        p = params[won["param_idx"]]
+        mine = (F.col("assay") == key[0]) & (F.col("fp") == key[1]) & (F.col("rule") == rules[trees.rule_of(p)])
+        own = trees.pruned(nodes.filter(mine).drop(*RUN, "rule", "v", "v1"), p.get("max_depth"))
+        out[key] = (TreeFit(own), {m: tested[key][m] for m in METRICS})
+    return out
+
+
 def run(
     compounds: DataFrame,
     hits: DataFrame,
@@ -106,13 +134,17 @@ def run(
             best = best_candidate(results, RUN, metric, how).select(*RUN, "param_idx")
             means = summarise(results, [*RUN, "param_idx"]).join(best, [*RUN, "param_idx"], "left_semi")
             chosen = {(r["assay"], r["fp"]): r for r in means.collect()}  # one row per campaign
+            trees_done = final_trees(folded, test, chosen, params) if model == "dt" else {}
             for g in ready:
                 key = (g["assay"], g["fp"])
                 won = chosen[key]
-                mine = (F.col("assay") == key[0]) & (F.col("fp") == key[1])
-                fitted, tested = fit_final(
-                    folded.filter(mine), test.filter(mine), model, params[won["param_idx"]], WIDTHS[key[1]], seed
-                )
+                if model == "dt":
+                    fitted, tested = trees_done[key]
+                else:
+                    mine = (F.col("assay") == key[0]) & (F.col("fp") == key[1])
+                    fitted, tested = fit_final(
+                        folded.filter(mine), test.filter(mine), model, params[won["param_idx"]], WIDTHS[key[1]], seed
+                    )
                 if save_to:
                     save_model(spark, fitted, save_to, key[0], key[1], model)
                 out.append((

@@ -305,7 +305,7 @@ def join_attach_structure(spark, sf):
 @query
 def join_knn_hamming(spark, sf):
     """Neighbours inside the smaller class of both assays."""
-    small = materialise(balance.minority(features(spark, sf, hits(spark, sf)), BY), "small")
+    small = materialise(balance.minority(features(spark, sf, hits(spark, sf)), BY), "minority")
     return neighbours.ranked(neighbours.knn_hamming(small, BY), BY)
 
 

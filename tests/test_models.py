@@ -59,6 +59,21 @@ def test_levelwise_tree_against_recursion(planted, leaf, split, depth):
     assert got == sorted(grown(rows, max(split, 2 * leaf), leaf, depth or 99))
 
 
+def test_joint_refit_equals_single_refit(planted):
+    keyed = planted.withColumn("fp", F.lit("MACCS"))
+    both = keyed.unionByName(keyed.withColumn("assay", F.lit("b")).withColumn("hit", F.col("bits")[0] % 2))
+    train, test = both.filter("row_id % 5 <> 0").cache(), both.filter("row_id % 5 = 0").cache()
+    params = [{"max_depth": 1}, {"max_depth": None, "criterion": "entropy", "min_samples_leaf": 2}]
+    chosen = {("a", "MACCS"): {"param_idx": 0}, ("b", "MACCS"): {"param_idx": 1}}
+    for (assay, fp), (fitted, tested) in campaign.final_trees(train, test, chosen, params).items():
+        mine = F.col("assay") == assay
+        single, expected = campaign.fit_final(
+            train.filter(mine), test.filter(mine), "dt", params[chosen[(assay, fp)]["param_idx"]], WIDTH
+        )
+        assert tested == pytest.approx(expected)
+        assert campaign.evaluate(fitted, test.filter(mine)) == pytest.approx(expected)
+
+
 def test_best_bit_agrees_with_spark_tree(planted):
     best = trees.best_split(trees.split_scan(planted, ["assay"]), ["assay"]).first()
     data = fingerprint.feature_vector(planted, WIDTH).withColumn("label", F.col("hit").cast("double"))
