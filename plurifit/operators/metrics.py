@@ -128,6 +128,8 @@ def all_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def metrics_from_counts(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """The five metrics from ``(by…, score, prediction, pos, neg)``."""
     by = list(by)
+    if not by:
+        return metrics_from_counts(counted.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     hit = F.col("prediction") == 1
     matrix = counted.groupBy(*by).agg(
         _count_if(hit, F.col("pos")).alias("n_tp"), _count_if(hit, F.col("neg")).alias("n_fp"),
@@ -136,8 +138,6 @@ def metrics_from_counts(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     ratios = matrix.select(
         *by, precision().alias("precision"), recall().alias("recall"), f1().alias("f1"), accuracy().alias("accuracy")
     )
-    if not by:
-        return ratios.crossJoin(auc_from_counts(counted, by).select("roc_auc"))  # one row each
     return ratios.join(auc_from_counts(counted, by).select(*by, "roc_auc"), by)
 
 

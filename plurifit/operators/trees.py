@@ -63,14 +63,15 @@ def split_counts(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     Node totals travel as the pseudo bit -1, so one shuffle carries both.
     """
     by = list(by)
+    if not by:
+        return split_counts(rows.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
     marked = F.explode(F.array_prepend("bits", F.lit(-1)))
     counted = rows.select(*by, "hit", marked.alias("bit")).groupBy(*by, "bit").agg(
         F.count(F.lit(1)).alias("s"), F.sum(F.col("hit").cast("bigint")).alias("s1")
     )
     totals = counted.filter("bit = -1").select(*by, F.col("s").alias("n"), F.col("s1").alias("n1"))
     bits = counted.filter("bit >= 0")
-    joined = bits.join(totals, by) if by else bits.crossJoin(totals)  # totals: one row
-    return joined.filter("s < n")
+    return bits.join(totals, by).filter("s < n")
 
 
 def split_scan(rows: DataFrame, by: Sequence[str], criterion: str = "gini") -> DataFrame:

@@ -36,8 +36,8 @@ def aligned(compounds: DataFrame, hits: DataFrame, families: Sequence[str], min_
 
 def evaluate(fitted, rows: DataFrame) -> dict[str, float]:
     """The five metrics of a fitted model on labelled rows."""
-    scored = fitted.score(rows).select(F.lit(0).alias("all"), F.col("hit").alias("y"), "prediction", "score")
-    got = all_metrics(scored, ["all"]).first()
+    scored = fitted.score(rows).select(F.col("hit").alias("y"), "prediction", "score")
+    got = all_metrics(scored, []).first()
     return {m: got[m] for m in METRICS} if got else dict.fromkeys(METRICS)
 
 
