@@ -34,7 +34,7 @@ MODEL_FILE = "piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16
 SPACE = "▁"
 MOST_STATES = 300_000
-MOST_WORDS = 300_000
+MOST_WORDS = 700_000
 LONG_WORD = 48
 
 State = tuple[tuple[str, str | None, int], ...]
@@ -82,6 +82,22 @@ class ChunkMap(NamedTuple):
     tail: str | None
 
 
+class WordCounts(dict):
+    """Tokens of whole words, remembered up to a bound that only limits memory."""
+
+    def __init__(self, walk):
+        super().__init__()
+        self.walk = walk
+
+    def __missing__(self, word: str) -> int:
+        n = self.walk(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MOST_WORDS:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class Transducer:
     _made: dict[str, Transducer] = {}
 
@@ -91,7 +107,7 @@ class Transducer:
         self.words = re.compile(f"{SPACE}+[^{SPACE}{apart}]*|[^{SPACE}{apart}]+|[{apart}]" if apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.reset = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + (f"|(?<=[{apart}])|(?<=.)(?=[{apart}])" if apart else ""), re.S)
         self._clear()
-        self.counts: dict[str, int] = {}
+        self.counts = WordCounts(self.walk)
 
     @classmethod
     def of(cls, name: str) -> Transducer:
@@ -121,8 +137,9 @@ class Transducer:
         """Number of tokens of a text read from the start state."""
         at, total, moves = 0, 0, self.moves
         for char in text:
-            move = moves[at].get(char)
-            if move is None:
+            try:
+                at, change = moves[at][char]
+            except KeyError:
                 state, change = self._compile(self.states[at], char)
                 if len(self.states) >= MOST_STATES:
                     self._clear()
@@ -132,26 +149,15 @@ class Transducer:
                     number = self.numbers[state] = len(self.states)
                     self.states.append(state)
                     moves.append({})
-                move = (number, change)
                 if at is not None:
-                    moves[at][char] = move
-            at = move[0]
-            total += move[1]
+                    moves[at][char] = (number, change)
+                at = number
+            total += change
         return total
 
     def count(self, text: str) -> int:
         """Tokens of a text that begins at a reset."""
-        total, known = 0, self.counts
-        for word in self.words.findall(text):
-            n = known.get(word)
-            if n is None:
-                n = self.walk(word)
-                if len(word) <= LONG_WORD:
-                    if len(known) >= MOST_WORDS:
-                        known.clear()
-                    known[word] = n
-            total += n
-        return total
+        return sum(map(self.counts.__getitem__, self.words.findall(text)))
 
     def map_of(self, chunk: str) -> ChunkMap:
         first = self.reset.search(chunk)

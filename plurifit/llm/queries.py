@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, pieces
-from .common import documents
+from . import byte_bpe, contamination, pieces, pii, quality, toxicity
+from .common import documents, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +15,33 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_tokens(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures of every document and whether it is kept."""
+    return quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and the digest of their ids and of the bytes they decode to."""
     return byte_bpe.encode_decode(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels that are not held out."""
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, whatever the order of its passages."""
+    return contamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.find(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_byte_bpe, op6_toxicity, op8_decontamination, op9_pii)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op2_quality_rules": quality.oracle()}
