@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, contamination, pieces, pii, quality, toxicity
+from . import byte_bpe, contamination, pieces, pii, quality, secrets, toxicity
 from .common import documents, table
 
 
@@ -40,7 +40,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_byte_bpe, op6_toxicity, op8_decontamination, op9_pii)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.find(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_byte_bpe, op6_toxicity, op8_decontamination, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
