@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, contamination, pieces, pii, quality, secrets, toxicity
+from . import byte_bpe, contamination, jaccard, pieces, pii, quality, secrets, toxicity
 from .common import documents, table
 
 
@@ -30,6 +30,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least half of a benchmark item, whatever the order of its passages."""
     return contamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -45,7 +50,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_byte_bpe, op6_toxicity, op8_decontamination, op9_pii, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op5_byte_bpe, op6_toxicity, op7_jaccard_join, op8_decontamination, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
