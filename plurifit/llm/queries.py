@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, contamination, jaccard, pieces, pii, quality, repeats, secrets, toxicity
+from . import byte_bpe, contamination, html_text, jaccard, pieces, pii, quality, repeats, secrets, toxicity
 from .common import documents, table
 
 
@@ -25,6 +25,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and the digest of their ids and of the bytes they decode to."""
     return byte_bpe.encode_decode(documents(spark, sf_dir))
@@ -55,7 +60,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op5_byte_bpe, op6_toxicity, op7_jaccard_join, op8_decontamination, op9_pii, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_html_text, op5_byte_bpe, op6_toxicity, op7_jaccard_join, op8_decontamination, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

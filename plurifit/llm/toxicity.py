@@ -133,14 +133,14 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def score(df: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """(key, held_out, score, predicted); with ``keep``, these columns, score and predicted."""
+    """(key, held_out, score, predicted); with ``keep``, these columns, _score_ and _predicted_, which no other column clashes with."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     used = np.flatnonzero(weights).astype(np.uint32)
     values = weights[used]
     columns = keep if keep is not None else [key, "held_out"]
     source = df if keep is not None else df.select(F.col(key), held_out(key).alias("held_out"), F.col(text))
-    fields = [source.schema[c] for c in columns] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    fields = [source.schema[c] for c in columns] + [T.StructField(n, t) for n, t in zip(("score", "predicted") if keep is None else ("_score_", "_predicted_"), (T.DoubleType(), T.IntegerType()))]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
 
