@@ -300,13 +300,13 @@ RESULT = T.StructType([
 def find(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, masked: str | None = None) -> DataFrame:
     """(key or ``keep``, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every text.
 
-    Counts and digest are of the patterns, ``spans`` holds all. With ``masked``, a column of that name has the text with each span
-    replaced by its kind in angle brackets.
+    Counts and digest are of the patterns, ``spans`` holds all. With ``masked``, the result is the kept columns and one of that name: the
+    text with each span replaced by its kind in angle brackets.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = keep if keep is not None else [key]
-    schema = T.StructType([*(df.schema[c] for c in columns), *RESULT, *([T.StructField(masked, T.StringType())] if masked else [])])
+    schema = T.StructType([*(df.schema[c] for c in columns), *([T.StructField(masked, T.StringType())] if masked else RESULT)])
     arrow = to_arrow_schema(schema)
     field = fit(labelled_table())
 
@@ -315,12 +315,13 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str]
             texts = batch.column(len(columns)).to_pylist()
             base = [base_spans(t) for t in texts]
             every = [sorted(b + a) for b, a in zip(base, added_spans(field, texts, base))]
-            counts = [[sum(k == n for k, _, _ in b) for b in base] for n in range(len(KINDS))]
-            made = [*batch.columns[: len(columns)], *(pa.array(c, pa.int64()) for c in counts)]
-            made.append(pa.array([hashlib.sha256(spans_text(b).encode()).hexdigest() for b in base], pa.string()))
-            made.append(pa.array([spans_text(s) for s in every], pa.string()))
+            made = list(batch.columns[: len(columns)])
             if masked:
                 made.append(pa.array([mask(t, s) for t, s in zip(texts, every)], pa.string()))
+            else:
+                made += [pa.array([sum(k == n for k, _, _ in b) for b in base], pa.int64()) for n in range(len(KINDS))]
+                made.append(pa.array([hashlib.sha256(spans_text(b).encode()).hexdigest() for b in base], pa.string()))
+                made.append(pa.array([spans_text(s) for s in every], pa.string()))
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
     return df.select(*columns, text_of(text).alias("_text_")).mapInArrow(over, schema)
