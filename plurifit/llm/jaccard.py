@@ -7,9 +7,11 @@ before its sets are compared. The first order puts widespread shingles last, so
 Only components are asked for, so not every pair is compared:
 
 1. Documents with equal sets are one node, named by its least key.
-2. Documents that share a prefix token form a group. Each is first compared with one group leader, the one with which it shares most
-   prefix tokens. A large group of near copies becomes one component here, at one comparison per document.
-3. Of the remaining candidates only pairs in different components are compared, all of them.
+2. Documents that share a prefix token form a group; widespread tokens are salted into groups of bounded size whose leaders form a group of their own.
+   Each document is first compared with one group leader, the one with which it shares most prefix tokens. A large group of near copies
+   becomes one component here, at one comparison per document.
+3. Of the remaining candidates only pairs in different components are compared: all whose number of shared prefix tokens allows the similarity.
+   (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.)
 
 So every link between components is found; links inside one change nothing. Comparisons of a leader are dealt out in portions of bounded size. Sets are
 rebuilt from the texts of the documents concerned and are never shuffled for all documents.
@@ -25,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import broadcast_if_small
 from ..session import materialise
-from .common import WORDS, WordHashes, lower_ascii, mix, shingle_ids, text_of, word_ids
+from .common import WordHashes, mix, shingle_ids, text_of, word_ids
 from .components import components
 
 SHINGLE = 5
@@ -39,6 +41,7 @@ COUNTED_TOGETHER = 4_000_000
 WIDESPREAD_IN_TASK = 3
 WIDESPREAD_TOKENS = 200_000
 PORTION = 256
+GROUP_ROWS = 5_000
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
@@ -46,7 +49,7 @@ _memo = WordHashes()
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes of a text, sorted; a shorter text is one shingle."""
-    ids = word_ids(WORDS.findall(lower_ascii(text)), _memo)
+    ids = word_ids(text.encode().lower().split(), _memo)  # bytes: A-Z only, and cut at ASCII white space only
     return np.unique(shingle_ids(ids, min(size, len(ids)))) if len(ids) else np.empty(0, np.uint64)
 
 
@@ -122,7 +125,8 @@ def _survey(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield often(parts)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, widespread: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, widespread: np.ndarray, rank: np.ndarray, salts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(token, salt, key); salt is -1 where a token has one group only. Equal sets are listed once per task."""
     seen: set[bytes] = set()
     for batch in batches:
         tokens, keys, counts = [], [], []
@@ -137,7 +141,13 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, widesp
                 keys.append(key)
                 counts.append(len(tokens[-1]))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts))], names=["token", "key"])
+            every, owner = np.concatenate(tokens), np.repeat(np.array(keys, np.int64), counts)
+            salt = np.full(len(every), -1, np.int32)
+            if len(widespread):
+                at = np.minimum(np.searchsorted(widespread, every), len(widespread) - 1)
+                split = (widespread[at] == every) & (salts[at] > 1)
+                salt[split] = (mix(owner[split].astype(np.uint64)) % salts[at[split]].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int64)), pa.array(salt), pa.array(owner)], names=["token", "salt", "key"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -173,14 +183,24 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return materialise(found, "found")
 
 
-def _widespread(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens to put last, sorted, and their rank from rare to frequent; at most ``WIDESPREAD_TOKENS``. It only sets an order, so any list gives the same links."""
+def _widespread(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens to put last, sorted, their rank from rare to frequent, and their number of salts; at most ``WIDESPREAD_TOKENS``. It only sets an order, so any list gives the same links."""
     top = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(WIDESPREAD_TOKENS).toArrow()
     tokens, counts = top.column("token").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
     by_token = np.argsort(tokens)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
-    return tokens[by_token], rank[by_token]
+    return tokens[by_token], rank[by_token], 1 + counts[by_token] // GROUP_ROWS
+
+
+def _sizes_allow(percent: int) -> Column:
+    return (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100)
+
+
+def _least_shared(percent: int) -> Column:
+    """Fewest shared prefix tokens of a pair that can be linked."""
+    needed = F.ceil(F.lit(percent) * (F.col("a_low") + F.col("b_low")) / F.lit(100 + percent))
+    return F.greatest(F.lit(1), needed - F.greatest(F.ceil(F.col("a_high") * percent / 100), F.ceil(F.col("b_high") * percent / 100)) + 1)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -188,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     survey = materialise(texts.mapInArrow(lambda b: _survey(b, size), "key long, n long, digest binary, token long"), "survey")
     sets = survey.filter("digest IS NOT NULL")
-    widespread, rank = _widespread(survey.filter("digest IS NULL"))
+    widespread, rank, salts = _widespread(survey.filter("digest IS NULL"))
 
     known = texts.filter("key IS NOT NULL")
     nodes = sets.filter("key IS NOT NULL AND n > 0")
@@ -197,35 +217,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     # a key whose rows have several sets ties their nodes together
     ties = nodes.join(named, "digest").select("key", "node").join(node_of.filter("node <> other").select("key", F.col("node").alias("first")), "key").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
-    postings = known.mapInArrow(lambda b: _postings(b, size, percent, widespread, rank), "token long, key long")
-    groups = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("token", F.col("low").alias("leader"))
-    shared = materialise(postings.join(groups, "token"), "shared")
+    postings = known.mapInArrow(lambda b: _postings(b, size, percent, widespread, rank, salts), "token long, salt int, key long")
+    group = Window.partitionBy("token", "salt")
+    grouped = postings.select("token", "salt", "key", F.min("key").over(group).alias("leader"), F.max("key").over(group).alias("high"))
+    shared = materialise(grouped.filter("leader < high OR salt >= 0").drop("high"), "shared")
+    split = shared.filter("salt >= 0").groupBy("token", "salt").agg(F.min("leader").alias("key"))
+    split = split.join(split.groupBy("token").agg(F.min("key").alias("leader")), "token").select("token", "key", "leader")
 
-    node = node_of.select("key", "node")
+    sized = nodes.join(named, "digest").groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    node = materialise(node_of.select("key", "node").join(sized, "node").select("key", "node", "low", "high"), "sized")
+    met = shared.select("token", "key", "leader").union(split).filter("key <> leader")
     stars = (
-        shared.filter("key <> leader").groupBy("key", "leader").agg(F.count(F.lit(1)).alias("c"))
-        .join(node, "key").join(node.toDF("leader", "head"), "leader").filter("node <> head")
-        .groupBy("node", "head").agg(F.sum("c").alias("c"))
+        met.groupBy("key", "leader").agg(F.count(F.lit(1)).alias("c"))
+        .join(node.toDF("key", "b", "b_low", "b_high"), "key").join(node.toDF("leader", "a", "a_low", "a_high"), "leader").filter("a <> b")
+        .groupBy("a", "b", "a_low", "a_high", "b_low", "b_high").agg(F.sum("c").alias("c"))
+        # a leader sees a part of the shared tokens only; pairs that look hopeless are left to the full count below
+        .filter(_sizes_allow(percent) & (F.col("c") * 4 >= _least_shared(percent)))
     )
-    best = stars.groupBy("node").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("best")).select((-F.col("best.h")).alias("a"), F.col("node").alias("b"))
+    best = stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("h"))).alias("best")).select((-F.col("best.h")).alias("a"), "b")
     tested = materialise(best, "best")
     links = materialise(_links(tested, known, size, percent).union(ties), "links")
     first = components(links).toDF("node", "component")
 
-    sized = nodes.join(named, "digest").groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    placed = node.join(first, "node", "left").join(sized, "node").select("key", "node", F.coalesce("component", "node").alias("component"), "low", "high")
+    placed = node.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "low", "high")
     members = shared.select("token", "key").join(placed, "key").select("token", "node", "component", "low", "high").distinct()
     open_groups = members.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("token")
     members = materialise(members.join(open_groups, "token"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    close = (F.col("x.low") * percent <= F.col("y.high") * 100) & (F.col("y.low") * percent <= F.col("x.high") * 100)
-    rest = x.join(y, near & close).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    x, y = members.toDF("token", "a", "x", "a_low", "a_high"), members.toDF("token_", "b", "y", "b_low", "b_high")
+    rest = (
+        x.join(y, (F.col("token") == F.col("token_")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sizes_allow(percent))
+        .groupBy("a", "b", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _least_shared(percent)).select("a", "b")
+    )
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.union(_links(rest.join(done, ["a", "b"], "left_anti"), known, size, percent))
 
     last = components(links).toDF("node", "component")
-    final = node.join(last, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    final = node.select("key", "node").join(last, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     return sets.join(final, "key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )
