@@ -8,9 +8,10 @@ phrases need to be looked at once:
 * **Phrases.** Neighbouring windows with one trigger form a phrase: the bytes they cover. The **dictionary** holds the distinct phrases of each
   trigger with their counts, the **parse** where they lie.
 * **Order.** Two windows can only be equal if their triggers are. A phrase that occurs twice repeats in all its windows. A trigger with one
-  phrase is settled by this, and so is one that occurs once. For the other triggers the dictionary's phrases are compared suffix by suffix: each
-  window, cut to 200 bytes, is grouped with equal ones of its trigger. This is the corpus order of the suffix array cut at 200 bytes, where only
-  equality counts, so equal suffixes are brought together by hash instead of by rank.
+  phrase is settled by this, and so is one that occurs once. For the other triggers the dictionary's phrases are compared suffix by suffix, first
+  in blocks of 16 neighbouring windows: what all windows of a block share must repeat if one of them does, and if what they cover together
+  repeats, all do. Windows of the blocks still open are grouped one by one. This is the corpus order of the suffix array cut at 200 bytes,
+  where only equality counts, so equal suffixes are brought together by hash instead of by rank.
 
 Work and rows follow the number of phrases, about one per 51 bytes, and of distinct phrases, not of copies.
 
@@ -29,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sizing import broadcast_if_small
 from ..session import materialise
-from .common import mix, ranges, text_of
+from .common import mix, pack, ranges, text_of, unpack
 
 LENGTH = 200
 TRIGGER = 100
-BROADCAST_DOCUMENTS = 1_000_000
+BLOCK = 16
+BROADCAST_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -102,11 +103,11 @@ def phrases(data: np.ndarray, length: int, trigger: int):
     return firsts, lasts, at, hashes[at], mix(whole)
 
 
-ROW = "doc long, mark int, first int, last int, key long, phrase long"
+ROW = "doc long, mark int, first int, last int, ahead int, key long, phrase long"
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc", "mark", "first", "last", "key", "phrase"]
+    names = ["doc", "mark", "first", "last", "ahead", "key", "phrase"]
     for batch in batches:
         docs, marks, parts = [], [], []
         for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -116,27 +117,77 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -
                 marks += [mark] * len(found[0])
                 parts.append(found)
         if parts:
-            first, last, _, key, phrase = (np.concatenate(x) for x in zip(*parts))
+            first, last, at, key, phrase = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([
                 pa.array(docs, pa.int64()), pa.array(marks, pa.int32()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-                pa.array(key.astype(np.int64)), pa.array(phrase.astype(np.int64)),
+                pa.array((at - first).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(phrase.astype(np.int64)),
             ], names=names)
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The parts of each text as one packed value. Long columns are packed as two halves."""
+    for batch in batches:
+        blobs = []
+        for parts in batch.column("parts"):
+            arrays = []
+            for c in columns:
+                values = np.ascontiguousarray(parts.values.field(c).to_numpy(zero_copy_only=False))
+                arrays.append(values.astype(np.uint32) if values.dtype != np.int64 else values.view(np.uint32))
+            blobs.append(pack(*arrays))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(blobs, pa.binary())], names=["doc", "mark", "parts"])
+
+
+def _unpacked(blob: bytes, wide: tuple[bool, ...]) -> list[np.ndarray]:
+    return [a.view(np.int64) if long else a.astype(np.int64) for a, long in zip(unpack(blob), wide)]
+
+
+def _batch(doc, mark, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    front = [pa.array([doc] * n, pa.int64()), pa.array(np.full(n, mark, np.int32))]
+    return pa.RecordBatch.from_arrays([*front, *(pa.array(v) for v in columns.values())], names=["doc", "mark", *columns])
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of windows of the dictionary's phrases: windows first … last, hash of trigger and common bytes, hash of all bytes, copies."""
+    for batch in batches:
+        for doc, mark, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "parts"))):
+            first, last, ahead, key, copies = _unpacked(blob, (False, False, False, True, True))
+            low, place = ahead - (last - first), first + ahead
+            counts = ahead // BLOCK - low // BLOCK + 1
+            k = ranges(low // BLOCK, counts)
+            low, high, place, key, copies = (np.repeat(a, counts) for a in (low, ahead, place, key, copies))
+            low, high = np.maximum(low, k * BLOCK), np.minimum(high, k * BLOCK + BLOCK - 1)
+            rolling = Rolling(np.frombuffer(text.encode(), np.uint8))
+            with np.errstate(over="ignore"):
+                core = mix(rolling.of(place - k * BLOCK, place - k * BLOCK - BLOCK + 1 + length) ^ mix(key.view(np.uint64) + k.astype(np.uint64)))
+                whole = mix(rolling.of(place - high, place - low + length) + (low * 1024 + high).astype(np.uint64))
+            yield _batch(doc, mark, {
+                "first": (place - high).astype(np.int32), "last": (place - low).astype(np.int32), "core": core.astype(np.int64), "whole": whole.astype(np.int64), "copies": copies,
+            })
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Every window of the given phrases of a text: (doc, mark, start, key, window hash, copies of its phrase)."""
+    """Every window of the given blocks: its start, core and hash, and the copies of its block."""
     for batch in batches:
-        for doc, mark, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "parts"))):
-            first = np.array([p["first"] for p in parts])
-            counts = np.array([p["last"] for p in parts]) - first + 1
+        for doc, mark, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "text", "parts"))):
+            first, last, core, copies = _unpacked(blob, (False, False, True, True))
+            counts = last - first + 1
             starts = ranges(first, counts)
             window = Rolling(np.frombuffer(text.encode(), np.uint8)).of(starts, starts + length)
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([doc] * n, pa.int64()), pa.array(np.full(n, mark, np.int32)), pa.array(starts.astype(np.int32)),
-                pa.array(np.repeat(np.array([p["key"] for p in parts], np.int64), counts)), pa.array(window.astype(np.int64)),
-                pa.array(np.repeat(np.array([p["copies"] for p in parts], np.int64), counts)),
-            ], names=["doc", "mark", "first", "key", "window", "copies"])
+            yield _batch(doc, mark, {"first": starts.astype(np.int32), "core": np.repeat(core, counts), "window": window.astype(np.int64), "copies": np.repeat(copies, counts)})
+
+
+def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows first … last of each text joined where they meet, packed."""
+    for batch in batches:
+        blobs = []
+        for parts in batch.column("parts"):
+            first, last = (parts.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "last"))
+            order = np.argsort(first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate(last[order])
+            cut = np.flatnonzero(first[1:] > reach[:-1] + 1) + 1
+            blobs.append(pack(first[np.concatenate([[0], cut])].astype(np.uint32), reach[np.concatenate([cut - 1, [len(reach) - 1]])].astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(blobs, pa.binary())], names=["doc", "mark", "parts"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,9 +204,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _kept_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
+        for doc, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "parts"))):
             data = text.encode()
-            gone = merged([(s["first"], s["last"] + length) for s in spans or ()])
+            gone = merged([(a, b + length) for a, b in zip(*(x.tolist() for x in unpack(blob)))]) if blob else []
             at, kept = 0, []
             for a, b in gone:
                 kept.append(data[at:a])
@@ -175,24 +226,46 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
 
     dictionary = (
         met.filter("NOT alike").groupBy("key", "phrase")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "mark", "first", "last")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "mark", "first", "last", "ahead")).alias("at"))
     )
     dictionary = materialise(dictionary.select("key", "phrase", "copies", "at.*"), "dictionary")
     copied = met.join(dictionary.filter("copies > 1").select("key", "phrase"), ["key", "phrase"], "left_semi")
 
-    wanted = dictionary.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last", "key", "copies")).alias("parts"))
-    looked_up = _with_text(texts, wanted, "inner").select("doc", "mark", "text", "parts")
-    windows = materialise(looked_up.mapInArrow(lambda b: _window_rows(b, length), "doc long, mark int, first int, key long, window long, copies long"), "windows")
-    twice = windows.groupBy("key", "window").agg(F.sum("copies").alias("all")).filter("all > 1").select("key", "window")
-    single = windows.filter("copies = 1").join(twice, ["key", "window"], "left_semi")
+    form = "doc long, mark int, first int, last int, core long, whole long, copies long"
+    blocks = _with_text(texts, _packed(dictionary, ("first", "last", "ahead", "key", "copies")), "inner").mapInArrow(lambda b: _block_rows(b, length), form)
+    blocks = materialise(blocks, "blocks")
+    cores = blocks.groupBy("core").agg(F.sum("copies").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
+    blocks = blocks.join(cores.select("core", (F.col("low") == F.col("high")).alias("alike")), "core")
+    blocks = materialise(blocks, "blocks")
+    unsettled = blocks.filter("NOT alike")
+    wholes = unsettled.groupBy("core", "whole").agg(F.sum("copies").alias("copies"), F.min(F.struct("doc", "mark", "first", "last")).alias("at"))
+    wholes = materialise(wholes.select("core", "whole", "copies", "at.*"), "wholes")
+    settled = unsettled.filter("copies = 1").join(wholes.filter("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+
+    form = "doc long, mark int, first int, core long, window long, copies long"
+    windows = _with_text(texts, _packed(wholes, ("first", "last", "core", "copies")), "inner").mapInArrow(lambda b: _window_rows(b, length), form)
+    windows = materialise(windows, "windows")
+    twice = windows.groupBy("core", "window").agg(F.sum("copies").alias("all")).filter("all > 1").select("core", "window")
+    single = windows.filter("copies = 1").join(twice, ["core", "window"], "left_semi")
 
     spans = ["doc", "mark", "first", "last"]
-    return met.filter("alike").select(spans).union(copied.select(spans)).union(single.select("doc", "mark", "first", F.col("first").alias("last")))
+    found = met.filter("alike").select(spans).union(copied.select(spans)).union(blocks.filter("alike AND copies = 1").select(spans))
+    return found.union(settled.select(spans)).union(single.select("doc", "mark", "first", F.col("first").alias("last")))
+
+
+def _packed(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    listed = rows.groupBy("doc", "mark").agg(F.collect_list(F.struct(*columns)).alias("parts"))
+    return listed.mapInArrow(lambda b: _packed_rows(b, columns), "doc long, mark int, parts binary")
 
 
 def _with_text(texts: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-    parts = broadcast_if_small(materialise(parts, "parts"), BROADCAST_DOCUMENTS).toDF("_doc_", "_mark_", parts.columns[2])
-    return texts.join(parts, texts["doc"].eqNullSafe(parts["_doc_"]) & (texts["mark"] == parts["_mark_"]), how)
+    """Texts with their packed parts; the parts are broadcast if their measured bytes allow it."""
+    parts = materialise(parts, "parts").toDF("_doc_", "_mark_", "parts")
+    size, = parts.agg(F.coalesce(F.sum(F.octet_length("parts") + 64), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        parts = F.broadcast(parts)
+    joined = texts.join(parts, texts["doc"].eqNullSafe(parts["_doc_"]) & (texts["mark"] == parts["_mark_"]), how)
+    return joined.select("doc", "mark", "text", "parts")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -202,11 +275,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     whole = text_of(text)
     texts = df.select(F.col(key).cast("long").alias("doc"), F.hash(whole).alias("mark"), whole.alias("text"))
     spans = repeated_spans(texts, length, length // 2)
-    gone = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    gone = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("parts")).mapInArrow(_run_rows, "doc long, mark int, parts binary")
     fields = [
         T.StructField(key, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),
     ]
     schema = T.StructType(fields + ([T.StructField("kept", T.BinaryType())] if keep_text else []))
     arrow = to_arrow_schema(schema)
-    return _with_text(texts, gone, "left").select("doc", "text", "spans").mapInArrow(lambda b: _kept_rows(b, arrow, length, keep_text), schema)
+    return _with_text(texts, gone, "left").mapInArrow(lambda b: _kept_rows(b, arrow, length, keep_text), schema)
