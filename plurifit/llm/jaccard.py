@@ -10,7 +10,9 @@ Only components are asked for, so not every pair is compared:
 2. Documents that share a prefix token form a group; widespread tokens are salted into groups of bounded size whose leaders form a group of their own.
    Each document is first compared with one group leader, the one with which it shares most prefix tokens. A large group of near copies
    becomes one component here, at one comparison per document.
-3. Of the remaining candidates only pairs in different components are compared: all whose number of shared prefix tokens allows the similarity.
+3. Twice, each member of a group with several components is compared with the most central node of a group. Near copies with edits of
+   their own, which the first leader may not be linked with, join here.
+4. Of the remaining candidates only pairs in different components are compared: all whose number of shared prefix tokens allows the similarity.
    (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.)
 
 So every link between components is found; links inside one change nothing. Comparisons of a leader are dealt out in portions of bounded size. Sets are
@@ -42,6 +44,7 @@ WIDESPREAD_IN_TASK = 3
 WIDESPREAD_TOKENS = 200_000
 PORTION = 256
 GROUP_ROWS = 5_000
+CENTRAL_ROUNDS = 2
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
@@ -203,6 +206,28 @@ def _least_shared(percent: int) -> Column:
     return F.greatest(F.lit(1), needed - F.greatest(F.ceil(F.col("a_high") * percent / 100), F.ceil(F.col("b_high") * percent / 100)) + 1)
 
 
+def _open_members(listed: DataFrame, placed: DataFrame) -> DataFrame:
+    """Members, with their components, of the groups that meet more than one component."""
+    members = listed.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = members.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("token")
+    return members.join(mixed, "token")
+
+
+def _central(members: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """One more comparison for each member: with the most central node of a group, the one with the fewest prefix tokens of its own.
+
+    Edits of a copy make tokens that no other document has, so the node without any is the one that most near copies are linked with.
+    """
+    alone = F.col("high") - F.ceil(F.col("high") * percent / 100) + 1 - F.col("s")
+    centres = members.groupBy("token").agg(F.min(F.struct(alone.alias("alone"), "node", "component", "low", "high")).alias("centre"))
+    centres = centres.select("token", F.col("centre.node").alias("a"), F.col("centre.component").alias("x"), F.col("centre.low").alias("a_low"), F.col("centre.high").alias("a_high"))
+    others = members.select("token", F.col("node").alias("b"), F.col("component").alias("y"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    met = others.join(centres, "token").filter((F.col("x") != F.col("y")) & _sizes_allow(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    met = met.join(tested, ["a", "b"], "left_anti")
+    best = met.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("h"))).alias("best"))
+    return best.select((-F.col("best.h")).alias("a"), "b")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
@@ -239,10 +264,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     links = materialise(_links(tested, known, size, percent).union(ties), "links")
     first = components(links).toDF("node", "component")
 
-    placed = node.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "low", "high")
-    members = shared.select("token", "key").join(placed, "key").select("token", "node", "component", "low", "high").distinct()
-    open_groups = members.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("token")
-    members = materialise(members.join(open_groups, "token"), "members")
+    listed = materialise(shared.select("token", "key").join(node, "key").select("token", "node", "low", "high").distinct(), "listed")
+    shares = listed.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
+    for _ in range(CENTRAL_ROUNDS):
+        members = _open_members(listed, first)
+        pairs = materialise(_central(members.join(shares, "node"), tested, percent), "central")
+        found = _links(pairs, known, size, percent)
+        tested, links = tested.union(pairs), materialise(links.union(found), "links")
+        first = components(links).toDF("node", "component")
+
+    members = materialise(_open_members(listed, first), "members").select("token", "node", "component", "low", "high")
     x, y = members.toDF("token", "a", "x", "a_low", "a_high"), members.toDF("token_", "b", "y", "b_low", "b_high")
     rest = (
         x.join(y, (F.col("token") == F.col("token_")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sizes_allow(percent))
