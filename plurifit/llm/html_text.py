@@ -241,9 +241,9 @@ def compose(paragraphs: list[str], turn: int) -> str:
 PLAIN = ("A few plain words make the first paragraph of this page, and they end here.", "The second one is a little longer, with a comma, a full stop and some more words after it. It has two sentences.", "Short one.", "Another paragraph of ordinary length follows so that pages differ in what they hold, as real ones do.")
 
 
-def labelled_nodes(texts: list[str], variants: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the elements of composed pages."""
-    xs, ys = [], []
+def labelled_nodes(texts: list[str], least: int = 240) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the elements of composed pages, ``least`` or more in all."""
+    xs, ys, variants = [], [], -(-least // max(len(texts), 1))
     for n, source in enumerate(texts):
         paragraphs = [t for t in (_SPACE.sub(" ", p).strip() for p in re.findall(r"<p[^>]*>([^<]{2,})", source)) if t][:12]
         paragraphs = [html.unescape(p) for p in paragraphs] or list(PLAIN)
