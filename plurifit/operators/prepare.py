@@ -44,9 +44,15 @@ def assay_names(df: DataFrame) -> DataFrame:
 
 
 def melt(df: DataFrame, id_col: str = "row_id", assays: Sequence[str] | None = None) -> DataFrame:
-    """Every assay column as rows ``(row_id, assay, hit)``; missing outcomes stay null."""
+    """Every assay column as rows ``(row_id, assay, hit)``; missing outcomes, null or NaN, become null. Values other than 0 and 1 are an error."""
     names = list(assays or assay_columns(df))
-    slim = df.select(F.col(id_col).alias("row_id"), *[F.col(n).cast("int").alias(n) for n in names])
+
+    def outcome(name: str):
+        value = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+        wrong = F.raise_error(F.concat(F.lit(f"{name} holds an outcome other than 0 and 1: "), value.cast("string"))).cast("int")
+        return F.when(value.isNull(), F.lit(None).cast("int")).when(value.isin(0.0, 1.0), value.cast("int")).otherwise(wrong).alias(name)
+
+    slim = df.select(F.col(id_col).alias("row_id"), *[outcome(n) for n in names])
     return slim.unpivot("row_id", names, "assay", "hit")
 
 

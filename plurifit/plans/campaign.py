@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,7 +130,16 @@ def run(
         parts = materialise(fold_parts(usable, RUN, k, "smote", seed, width), "folds")
         for model, grid in grids.items():
             params = expand(grid) if grid else [{}]
-            results = cross_validate(usable, RUN, ready, model, params, k, width=width, seed=seed, parts=parts)
+            # how many features a forest tries depends on the width, so every family is searched with its own
+            kinds = [None] if model == "dt" else sorted({g["fp"] for g in ready})
+            found = [
+                cross_validate(
+                    usable if f is None else usable.filter(F.col("fp") == f), RUN, [g for g in ready if f in (None, g["fp"])], model, params, k,
+                    width=WIDTHS.get(f, width), seed=seed, parts=parts if f is None else parts.filter(F.col("fp") == f),
+                )
+                for f in kinds
+            ]
+            results = reduce(DataFrame.unionByName, found)
             results = materialise(results.filter("part = 'val'"), "results")
             best = best_candidate(results, RUN, metric, how).select(*RUN, "param_idx")
             means = summarise(results, [*RUN, "param_idx"]).join(best, [*RUN, "param_idx"], "left_semi")
@@ -137,7 +147,10 @@ def run(
             trees_done = final_trees(folded, test, chosen, params) if model == "dt" else {}
             for g in ready:
                 key = (g["assay"], g["fp"])
-                won = chosen[key]
+                won = chosen.get(key)
+                if won is None:
+                    out.append((*key, model, "no candidate has a score", g["n_pos"] + g["n_neg"], g["n_test"], None, None, *[None] * (2 * len(METRICS))))
+                    continue
                 if model == "dt":
                     fitted, tested = trees_done[key]
                 else:

@@ -16,17 +16,22 @@ from ..schema import RESULTS
 SPLIT_LEVELS = ("data_name", "assay", "fp", "model", "run_date", "run_time", "split")
 
 
+def _replace_partitions(df: DataFrame, path: str, levels: Sequence[str]) -> None:
+    """Write the partitions that ``df`` has rows for; those of other families or runs stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*levels).parquet(path)
+
+
 def write_fingerprints(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("fp").parquet(path)
+    _replace_partitions(df, path, ["fp"])
 
 
 def write_rejects(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("fp").parquet(path)
+    _replace_partitions(df, path, ["fp"])
 
 
 def write_split(df: DataFrame, path: str) -> None:
-    """Split rows below ``data_name=…/assay=…/…/split=…`` in one write."""
-    df.write.mode("append").partitionBy(*SPLIT_LEVELS).parquet(path)
+    """Split rows below ``data_name=…/assay=…/…/split=…`` in one write; a repeated run replaces its own rows."""
+    _replace_partitions(df, path, SPLIT_LEVELS)
 
 
 def append_results(df: DataFrame, path: str) -> None:

@@ -121,3 +121,15 @@ def test_resume_leaves_only_what_is_missing(spark):
     sinks.append_results(done, path)
     every = spark.createDataFrame([("a", "MACCS", "dt", i) for i in range(3)], "assay string, fp string, model string, param_idx int")
     assert sorted(r.param_idx for r in sinks.pending(every, sinks.stored_results(spark, path)).collect()) == [1, 2]
+
+
+def test_missing_labels_given_as_nan(spark):
+    wide = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, None), (4, 0.0)], "row_id long, a double")
+    assert {(r.row_id, r.hit) for r in prepare.labelled(prepare.melt(wide, assays=["a"]).filter("hit IS NOT NULL")).collect()} == {(1, 1), (4, 0)}
+
+
+def test_writing_one_family_keeps_the_others(spark):
+    path = scratch_path(spark, "families")
+    for family in ("MACCS", "Morgan", "MACCS"):
+        sinks.write_fingerprints(spark.createDataFrame([(1, [2, 3], family)], "row_id long, bits array<int>, fp string"), path)
+    assert sorted(r.fp for r in spark.read.parquet(path).collect()) == ["MACCS", "Morgan"]
