@@ -13,7 +13,9 @@ Only components are asked for, so not every pair is compared:
 3. Twice, each member of a group with several components is compared with the most central node of a group. Near copies with edits of
    their own, which the first leader may not be linked with, join here.
 4. Of the remaining candidates only pairs in different components are compared: all whose number of shared prefix tokens allows the similarity.
-   (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.)
+   (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.) The count is taken where the candidates meet: each
+   carries the list of its prefix tokens, and a pair comes out at the first token of both lists only. Nodes with more than 512
+   such tokens carry no list, so their pairs come out at every token and are counted afterwards.
 
 So every link between components is found; links inside one change nothing. Comparisons of a leader are dealt out in portions of bounded size. Sets are
 rebuilt from the texts of the documents concerned and are never shuffled for all documents.
@@ -45,6 +47,7 @@ WIDESPREAD_TOKENS = 200_000
 PORTION = 256
 GROUP_ROWS = 5_000
 CENTRAL_ROUNDS = 2
+LISTED = 512
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
@@ -80,19 +83,31 @@ def first_prefix(tokens: np.ndarray, widespread: np.ndarray, rank: np.ndarray, p
     return np.concatenate([rare, late[: size - len(rare)]])
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Exact test of two sets, after the filters of the two further orders."""
-    n, m = len(a), len(b)
-    if not n or not m or 100 * min(n, m) < percent * max(n, m):
-        return False
+def _shared(first: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Tokens that each of the others, none of them empty, shares with a sorted set."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(first, every), len(first) - 1)
+    return np.add.reduceat((first[at] == every).astype(np.int64), np.cumsum([0] + [len(o) for o in others[:-1]]))
+
+
+def linked(first: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of the others are linked with a set: an exact test of those that pass the filters of the two further orders."""
+    n, sizes = len(first), np.array([len(o) for o in others])
+    open_ = np.flatnonzero((sizes > 0) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))) if n else np.empty(0, np.int64)
     for which in (1, 2):
-        x, y = order(a, which), order(b, which)
-        p, q = prefix_size(n, percent), prefix_size(m, percent)
-        x, y = (np.partition(v, k - 1)[:k] if k < len(v) else v for v, k in ((x, p), (y, q)))
-        if not np.isin(x, y).any():
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (n + m - both)
+        if len(open_):
+            prefixes = [_prefix(others[i], which, percent) for i in open_]
+            open_ = open_[_shared(np.sort(_prefix(first, which, percent)), prefixes) > 0]
+    found = np.zeros(len(others), bool)
+    if len(open_):
+        both = _shared(first, [others[i] for i in open_])
+        found[open_] = 100 * both >= percent * (n + sizes[open_] - both)
+    return found
+
+
+def _prefix(tokens: np.ndarray, which: int, percent: int) -> np.ndarray:
+    size = prefix_size(len(tokens), percent)
+    return tokens[np.argpartition(order(tokens, which), size - 1)[:size]] if size < len(tokens) else tokens
 
 
 def _survey(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -161,16 +176,13 @@ def _set_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _compare(leaders: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    firsts = [(k, np.frombuffer(t, np.uint64)) for k, t in zip(leaders.column("a").to_pylist(), leaders.column("tokens").to_pylist())]
-    a, b = [], []
-    for key, raw in zip(members.column("b").to_pylist(), members.column("tokens").to_pylist()):
-        own = np.frombuffer(raw, np.uint64)
-        for first, tokens in firsts:
-            if linked(tokens, own, percent):
-                a.append(first)
-                b.append(key)
-                break
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    keys = members.column("b").to_numpy()
+    sets = [np.frombuffer(t, np.uint64) for t in members.column("tokens").to_pylist()]
+    a = leaders.column("a").to_numpy()[:1]
+    hit = np.zeros(len(keys), bool)
+    for raw in leaders.column("tokens").to_pylist():
+        hit |= linked(np.frombuffer(raw, np.uint64), sets, percent)
+    return pa.table({"a": pa.array(np.repeat(a, hit.sum()), pa.int64()), "b": pa.array(keys[hit], pa.int64())})
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -228,6 +240,12 @@ def _central(members: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("best.h")).alias("a"), "b")
 
 
+def _lists(members: DataFrame) -> DataFrame:
+    """(node, tokens): the sorted prefix tokens of nodes that have at most ``LISTED`` of them, so that a pair can count what it shares at its first shared token."""
+    few = members.groupBy("node").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") <= LISTED).select("node")
+    return members.select("node", "token").join(few, "node").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
@@ -273,11 +291,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         tested, links = tested.union(pairs), materialise(links.union(found), "links")
         first = components(links).toDF("node", "component")
 
-    members = materialise(_open_members(listed, first), "members").select("token", "node", "component", "low", "high")
-    x, y = members.toDF("token", "a", "x", "a_low", "a_high"), members.toDF("token_", "b", "y", "b_low", "b_high")
+    members = _open_members(listed, first).select("token", "node", "component", "low", "high")
+    lists = _lists(members)
+    members = materialise(members.join(lists, "node", "left"), "members").select("token", "node", "component", "low", "high", "tokens")
+    x, y = members.toDF("token", "a", "x", "a_low", "a_high", "a_tokens"), members.toDF("token_", "b", "y", "b_low", "b_high", "b_tokens")
+    both = F.array_intersect("a_tokens", "b_tokens")
+    once = (F.element_at(both, 1) == F.col("token")) & (F.size(both) >= _least_shared(percent))
+    listed_both = F.col("a_tokens").isNotNull() & F.col("b_tokens").isNotNull()
     rest = (
-        x.join(y, (F.col("token") == F.col("token_")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sizes_allow(percent))
-        .groupBy("a", "b", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _least_shared(percent)).select("a", "b")
+        x.join(y, (F.col("token") == F.col("token_")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sizes_allow(percent) & F.when(listed_both, once).otherwise(True))
+        .groupBy("a", "b", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("c"), F.first(listed_both).alias("counted"))
+        .filter(F.col("counted") | (F.col("c") >= _least_shared(percent))).select("a", "b")
     )
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.union(_links(rest.join(done, ["a", "b"], "left_anti"), known, size, percent))
