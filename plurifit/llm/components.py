@@ -22,6 +22,13 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one hub only and no hub hangs on another."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 OR up > 0 AND down > 0").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable from each linked node. ``links`` has columns a and b, in any order, repeats allowed.
 
@@ -29,12 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialise(edges, "links")
-    state = None
-    while True:
+    while not _stars(edges):
         edges = materialise(_small(_large(edges)), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

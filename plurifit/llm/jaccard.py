@@ -287,8 +287,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     for _ in range(CENTRAL_ROUNDS):
         members = _open_members(listed, first)
         pairs = materialise(_central(members.join(shares, "node"), tested, percent), "central")
-        found = _links(pairs, known, size, percent)
-        tested, links = tested.union(pairs), materialise(links.union(found), "links")
+        links = links.union(_links(pairs, known, size, percent))
+        tested = tested.union(pairs)
         first = components(links).toDF("node", "component")
 
     members = _open_members(listed, first).select("token", "node", "component", "low", "high")
