@@ -13,9 +13,9 @@ Only components are asked for, so not every pair is compared:
 3. Twice, each member of a group with several components is compared with the most central node of a group. Near copies with edits of
    their own, which the first leader may not be linked with, join here.
 4. Of the remaining candidates only pairs in different components are compared: all whose number of shared prefix tokens allows the similarity.
-   (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.) The count is taken where the candidates meet: each
-   carries the list of its prefix tokens, and a pair comes out at the first token of both lists only. Nodes with more than 512
-   such tokens carry no list, so their pairs come out at every token and are counted afterwards.
+   (A pair with c of them has at most max(ceil(0.8 n), ceil(0.8 m)) - 1 + c tokens in common.) In large groups the count is taken where the
+   candidates meet: each carries the list of its prefix tokens of large groups, and a pair comes out at the first token of both lists only. Pairs of small
+   groups, and of nodes with more than 512 such tokens, come out at every token; all are added up afterwards.
 
 So every link between components is found; links inside one change nothing. Comparisons of a leader are dealt out in portions of bounded size. Sets are
 rebuilt from the texts of the documents concerned and are never shuffled for all documents.
@@ -48,6 +48,7 @@ PORTION = 256
 GROUP_ROWS = 5_000
 CENTRAL_ROUNDS = 2
 LISTED = 512
+SMALL_GROUP = 4
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
@@ -240,10 +241,19 @@ def _central(members: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("best.h")).alias("a"), "b")
 
 
-def _lists(members: DataFrame) -> DataFrame:
-    """(node, tokens): the sorted prefix tokens of nodes that have at most ``LISTED`` of them, so that a pair can count what it shares at its first shared token."""
-    few = members.groupBy("node").agg(F.count(F.lit(1)).alias("s")).filter(F.col("s") <= LISTED).select("node")
-    return members.select("node", "token").join(few, "node").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+def _with_lists(members: DataFrame) -> DataFrame:
+    """Members with ``tokens``, the node's sorted tokens of large groups, and ``apart``, the number of its other tokens.
+
+    ``tokens`` is null in rows of small groups, where a pair costs less than two lists, and for nodes with over ``LISTED`` tokens of large groups.
+    """
+    large = members.groupBy("token").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > SMALL_GROUP).select("token", F.lit(True).alias("large"))
+    marked = materialise(members.join(large, "token", "left"), "marked")
+    few = marked.groupBy("node").agg(F.count("large").alias("s"), F.count(F.lit(1)).alias("every")).filter(F.col("s").between(1, LISTED))
+    few = few.select("node", (F.col("every") - F.col("s")).cast("int").alias("apart"))
+    lists = marked.filter("large").select("node", "token").join(few, "node").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max("apart").alias("apart"))
+    listed = marked.filter("large").drop("large").join(lists, "node", "left")
+    plain = marked.filter("large IS NULL").drop("large").withColumns({"tokens": F.lit(None).cast("array<long>"), "apart": F.lit(None).cast("int")})
+    return materialise(listed.unionByName(plain), "members")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -285,23 +295,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     listed = materialise(shared.select("token", "key").join(node, "key").select("token", "node", "low", "high").distinct(), "listed")
     shares = listed.groupBy("node").agg(F.count(F.lit(1)).alias("s"))
     for _ in range(CENTRAL_ROUNDS):
-        members = _open_members(listed, first)
-        pairs = materialise(_central(members.join(shares, "node"), tested, percent), "central")
+        members = materialise(_open_members(listed, first).join(shares, "node"), "open")
+        pairs = materialise(_central(members, tested, percent), "central")
         links = links.union(_links(pairs, known, size, percent))
         tested = tested.union(pairs)
+        listed = members.select("token", "node", "low", "high")  # a group of one component stays one
         first = components(links).toDF("node", "component")
 
-    members = _open_members(listed, first).select("token", "node", "component", "low", "high")
-    lists = _lists(members)
-    members = materialise(members.join(lists, "node", "left"), "members").select("token", "node", "component", "low", "high", "tokens")
-    x, y = members.toDF("token", "a", "x", "a_low", "a_high", "a_tokens"), members.toDF("token_", "b", "y", "b_low", "b_high", "b_tokens")
+    members = _with_lists(_open_members(listed, first).select("token", "node", "component", "low", "high"))
+    members = members.select("token", "node", "component", "low", "high", "tokens", "apart")
+    x, y = members.toDF("token", "a", "x", "a_low", "a_high", "a_tokens", "a_apart"), members.toDF("token_", "b", "y", "b_low", "b_high", "b_tokens", "b_apart")
     both = F.array_intersect("a_tokens", "b_tokens")
-    once = (F.element_at(both, 1) == F.col("token")) & (F.size(both) >= _least_shared(percent))
+    once = (F.element_at(both, 1) == F.col("token")) & (F.size(both) + F.least("a_apart", "b_apart") >= _least_shared(percent))
     listed_both = F.col("a_tokens").isNotNull() & F.col("b_tokens").isNotNull()
     rest = (
         x.join(y, (F.col("token") == F.col("token_")) & (F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) & _sizes_allow(percent) & F.when(listed_both, once).otherwise(True))
-        .groupBy("a", "b", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("c"), F.first(listed_both).alias("counted"))
-        .filter(F.col("counted") | (F.col("c") >= _least_shared(percent))).select("a", "b")
+        .select("a", "b", _least_shared(percent).alias("least"), F.when(listed_both, F.size(both)).otherwise(1).alias("c"))
+        .groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("a", "b")
     )
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.union(_links(rest.join(done, ["a", "b"], "left_anti"), known, size, percent))
