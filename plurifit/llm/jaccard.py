@@ -49,6 +49,7 @@ GROUP_ROWS = 5_000
 CENTRAL_ROUNDS = 2
 LISTED = 512
 SMALL_GROUP = 4
+SIEVE_BITS = 22
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
@@ -57,7 +58,8 @@ _memo = WordHashes()
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes of a text, sorted; a shorter text is one shingle."""
     ids = word_ids(text.encode().lower().split(), _memo)  # bytes: A-Z only, and cut at ASCII white space only
-    return np.unique(shingle_ids(ids, min(size, len(ids)))) if len(ids) else np.empty(0, np.uint64)
+    every = np.sort(shingle_ids(ids, min(size, len(ids)))) if len(ids) else np.empty(0, np.uint64)
+    return every[np.append(True, every[1:] != every[:-1])] if len(every) else every
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -69,19 +71,31 @@ def order(tokens: np.ndarray, which: int) -> np.ndarray:
         return mix(tokens * ORDERS[which] + ORDERS[which])
 
 
-def first_prefix(tokens: np.ndarray, widespread: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+def sieve_of(widespread: np.ndarray) -> np.ndarray:
+    """Whether any widespread token begins with given bits, so that most tokens need no search."""
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[widespread >> np.uint64(64 - SIEVE_BITS)] = True
+    return sieve
+
+
+def among(tokens: np.ndarray, widespread: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the widespread ones among tokens, and their places in ``widespread``."""
+    place = np.flatnonzero(sieve[tokens >> np.uint64(64 - SIEVE_BITS)])
+    if not len(place):
+        return place, place
+    at = np.minimum(np.searchsorted(widespread, tokens[place]), len(widespread) - 1)
+    found = widespread[at] == tokens[place]
+    return place[found], at[found]
+
+
+def first_prefix(tokens: np.ndarray, widespread: np.ndarray, rank: np.ndarray, sieve: np.ndarray, percent: int) -> np.ndarray:
     """Prefix under the first order: rare tokens by hash, then widespread ones from the rarest on."""
     size = prefix_size(len(tokens), percent)
-    if len(widespread):
-        at = np.minimum(np.searchsorted(widespread, tokens), len(widespread) - 1)
-        common = widespread[at] == tokens
-        rare, late = tokens[~common], tokens[common]
-        late = late[np.argsort(rank[at[common]], kind="stable")]
-    else:
-        rare, late = tokens, tokens[:0]
+    place, at = among(tokens, widespread, sieve)
+    rare, late = np.delete(tokens, place), tokens[place]
     if len(rare) > size:
         return rare[np.argpartition(order(rare, 0), size - 1)[:size]]
-    return np.concatenate([rare, late[: size - len(rare)]])
+    return np.concatenate([rare, late[np.argsort(rank[at], kind="stable")][: size - len(rare)]])
 
 
 def _shared(first: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -147,6 +161,7 @@ def _survey(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, widespread: np.ndarray, rank: np.ndarray, salts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(token, salt, key); salt is -1 where a token has one group only. Equal sets are listed once per task."""
     seen: set[bytes] = set()
+    sieve = sieve_of(widespread)
     for batch in batches:
         tokens, keys, counts = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -156,16 +171,15 @@ def _postings(batches: Iterator[pa.RecordBatch], size: int, percent: int, widesp
                 seen.add(digest)
                 if len(seen) > 500_000:
                     seen.clear()
-                tokens.append(first_prefix(own, widespread, rank, percent))
+                tokens.append(first_prefix(own, widespread, rank, sieve, percent))
                 keys.append(key)
                 counts.append(len(tokens[-1]))
         if keys:
             every, owner = np.concatenate(tokens), np.repeat(np.array(keys, np.int64), counts)
             salt = np.full(len(every), -1, np.int32)
-            if len(widespread):
-                at = np.minimum(np.searchsorted(widespread, every), len(widespread) - 1)
-                split = (widespread[at] == every) & (salts[at] > 1)
-                salt[split] = (mix(owner[split].astype(np.uint64)) % salts[at[split]].astype(np.uint64)).astype(np.int32)
+            place, at = among(every, widespread, sieve)
+            place, at = place[salts[at] > 1], at[salts[at] > 1]
+            salt[place] = (mix(owner[place].astype(np.uint64)) % salts[at].astype(np.uint64)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int64)), pa.array(salt), pa.array(owner)], names=["token", "salt", "key"])
 
 
