@@ -2,12 +2,13 @@
 
 All the method needs from the data are inner products of columns.  Each task
 adds up the Gram matrix of its rows, the per-task matrices are added up on the
-executors, and only the final matrix, whose size depends on the number of bits
-alone, reaches the driver.
+executors in two steps, so no task meets a row of every matrix, and only the
+final matrix, whose size depends on the number of bits alone, reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,17 +17,14 @@ from pyspark.sql import functions as F
 
 from .kernels import add_rows, gram_of_bits, pls_coefficients
 
-GRAM_TASKS = 2000
-
 
 def gram(df: DataFrame, width: int) -> DataFrame:
     """``(i, row array<double>)`` of X'X, where X holds the bits, then one-hot y (2), then ones."""
-    size = width + 3
-    slim = df.select("bits", "hit")
-    if slim.rdd.getNumPartitions() > GRAM_TASKS:
-        slim = slim.coalesce(GRAM_TASKS)  # one matrix per task, so fewer tasks ship fewer matrices
+    size, slim = width + 3, df.select("bits", "hit")
     partial = slim.mapInArrow(gram_of_bits(width), "i int, row array<double>")
-    return partial.groupBy("i").applyInArrow(add_rows(size), "i int, row array<double>")
+    salts = math.isqrt(slim.rdd.getNumPartitions()) + 1
+    salted = partial.withColumn("salt", F.spark_partition_id() % salts).groupBy("i", "salt")
+    return salted.applyInArrow(add_rows(size), "i int, row array<double>").groupBy("i").applyInArrow(add_rows(size), "i int, row array<double>")
 
 
 def gram_entries(df: DataFrame, width: int) -> DataFrame:

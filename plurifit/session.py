@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     if "dir" not in _local_fallback:
         _local_fallback["dir"] = tempfile.mkdtemp(prefix="plurifit-")
