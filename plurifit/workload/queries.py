@@ -8,6 +8,7 @@ Stand-ins: ``documents`` are the compounds (``text`` is the structure),
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -632,32 +633,31 @@ def cl_tree_levelwise(spark, sf):
     return trees.grow(rows, BY, rules, 2).select("assay", "depth", "node", "n", "n1", "bit")
 
 
+def _folded(spark, sf, **how):
+    """All labelled rows of both assays in five stratified folds."""
+    return materialise(sampling.stratified_folds(features(spark, sf, hits(spark, sf)), ["assay", "fp"], **how), "train")
+
+
 @query
 def cl_decision_tree(spark, sf):
-    """The full tree grid: 108 candidates in five balanced folds, grown together."""
-    folded = sampling.stratified_folds(features(spark, sf, toxic(spark, sf)), ["assay", "fp"])
-    params = grid.expand(grid.GRIDS["dt"])
-    return search.cross_validate(materialise(folded, "train"), ["assay", "fp"], [], "dt", params)
+    """The full tree grid for both assays: 108 candidates in five balanced folds, grown together."""
+    return search.cross_validate(_folded(spark, sf), ["assay", "fp"], [], "dt", grid.expand(grid.GRIDS["dt"]))
 
 
-def _cv(model: str, small_grid: dict, k: int = 3):
-    """Search over a small grid: every candidate here is a fit of its own."""
+def _cv(model: str, whole: dict):
+    """Search over a whole grid in five folds for both assays."""
     def run(spark, sf):
-        folded = materialise(sampling.stratified_folds(features(spark, sf, toxic(spark, sf)), ["assay", "fp"], k), "train")
-        one = [{"assay": "toxic", "fp": "MACCS"}]
-        return search.cross_validate(folded, ["assay", "fp"], one, model, grid.expand(small_grid), k)
+        both = [{"assay": assay, "fp": "MACCS"} for assay in ASSAYS]
+        return search.cross_validate(_folded(spark, sf), ["assay", "fp"], both, model, grid.expand(whole))
 
     return run
 
 
-QUERIES["cl_logistic"] = _cv("logistic", {"C": [1, 10], "penalty": ["l1", "l2"], "solver": ["liblinear", "saga"]})
-QUERIES["cl_random_forest"] = _cv(
-    "rf", {"n_estimators": [3, 5], "min_samples_split": [2], "min_samples_leaf": [3], "max_features": ["sqrt"], "max_depth": [10]}
-)
-QUERIES["cl_gbt"] = _cv("gbt", {"learning_rate": [0.1], "n_estimators": [5], "max_depth": [1, 2]})
-QUERIES["cl_regularised_boost"] = _cv(
-    "xgb", {"min_child_weight": [1, 5], "max_depth": [3], "gamma": [0.0], "n_estimators": [5]}
-)
+QUERIES["cl_logistic"] = _cv("logistic", grid.GRIDS["logistic"])
+QUERIES["cl_random_forest"] = _cv("rf", grid.GRIDS["rf"])
+QUERIES["cl_gbt"] = _cv("gbt", grid.GRIDS["gbt"])
+QUERIES["cl_regularised_boost"] = _cv("xgb", grid.GRIDS["xgb"])
+# there is no grid for this family: one component, and the default of two
 QUERIES["cl_pls_da"] = _cv("pls", {"n_components": [1, 2]})
 
 
@@ -669,26 +669,25 @@ def cl_pls_gram(spark, sf):
 
 @query
 def cv_grid_search(spark, sf):
-    """Tree search for both assays at once; results per candidate and fold."""
-    folded = sampling.stratified_folds(features(spark, sf, hits(spark, sf)), ["assay", "fp"])
-    params = grid.expand({"criterion": ["gini", "entropy"], "max_depth": [1, 2, 3], "min_samples_leaf": [1, 3]})
-    return search.cross_validate(materialise(folded, "train"), ["assay", "fp"], [], "dt", params)
+    """Search of the full tree grid for both assays at once; results per candidate and fold."""
+    return search.cross_validate(_folded(spark, sf), ["assay", "fp"], [], "dt", grid.expand(grid.GRIDS["dt"]))
 
 
 @query
 def cv_plain(spark, sf):
-    """No resampling, unshuffled folds, training and validation means."""
-    folded = sampling.stratified_folds(features(spark, sf, toxic(spark, sf)), ["assay", "fp"], shuffle=False)
+    """The full tree grid for both assays without resampling, unshuffled folds, training and validation means."""
     found = search.cross_validate(
-        materialise(folded, "train"), ["assay", "fp"], [], "dt",
-        grid.expand({"criterion": ["gini"], "max_depth": [1, 3]}), resample=None, with_train=True,
+        _folded(spark, sf, shuffle=False), ["assay", "fp"], [], "dt", grid.expand(grid.GRIDS["dt"]), resample=None, with_train=True,
     )
     return search.train_and_validation_means(found, ["assay", "fp"])
 
 
 def _split_features(spark, sf):
-    data = materialise(sampling.train_test_split(features(spark, sf, toxic(spark, sf)), ["assay", "fp"]), "split")
-    return data.filter("split = 'train'"), data.filter("split = 'test'")
+    """(assay, training rows, test rows) of both assays."""
+    data = materialise(sampling.train_test_split(features(spark, sf, hits(spark, sf)), ["assay", "fp"]), "split")
+    for assay in ASSAYS:
+        mine = data.filter(F.col("assay") == assay)
+        yield assay, mine.filter("split = 'train'"), mine.filter("split = 'test'")
 
 
 TREE = {"criterion": "gini", "max_depth": 3}
@@ -696,24 +695,26 @@ TREE = {"criterion": "gini", "max_depth": 3}
 
 @query
 def fit_final_and_test(spark, sf):
-    train, test = _split_features(spark, sf)
-    _, tested = campaign.fit_final(train, test, "dt", TREE, fingerprint.WIDTHS["MACCS"])
-    return spark.createDataFrame([tuple(tested.values())], ", ".join(f"{m} double" for m in tested))
+    out = []
+    for assay, train, test in _split_features(spark, sf):
+        _, tested = campaign.fit_final(train, test, "dt", TREE, fingerprint.WIDTHS["MACCS"])
+        out.append((assay, *(tested[m] for m in metrics.METRICS)))
+    return spark.createDataFrame(out, "assay string, " + ", ".join(f"{m} double" for m in metrics.METRICS))
 
 
 def _fitted_scores(spark, sf):
-    train, test = _split_features(spark, sf)
-    return fit(train, "dt", TREE, fingerprint.WIDTHS["MACCS"]).score(test)
+    scored = [fit(train, "dt", TREE, fingerprint.WIDTHS["MACCS"]).score(test) for _, train, test in _split_features(spark, sf)]
+    return reduce(DataFrame.unionByName, scored)
 
 
 @query
 def pred_class(spark, sf):
-    return _fitted_scores(spark, sf).select("row_id", "prediction")
+    return _fitted_scores(spark, sf).select("assay", "row_id", "prediction")
 
 
 @query
 def pred_probability(spark, sf):
-    return _fitted_scores(spark, sf).select("row_id", F.round("score", 6).alias("probability"))
+    return _fitted_scores(spark, sf).select("assay", "row_id", F.round("score", 6).alias("probability"))
 
 
 def _saved(spark, sf, root):
@@ -768,10 +769,8 @@ def flagship(spark, sf):
 
 @query
 def campaign_run(spark, sf):
-    return campaign.run(
-        compounds(spark, sf), hits(spark, sf),
-        models={"dt": {"criterion": ["gini", "entropy"], "max_depth": [1, 2, 3], "min_samples_leaf": [1, 3]}},
-    )
+    """A campaign per assay over the full tree grid."""
+    return campaign.run(compounds(spark, sf), hits(spark, sf), models={"dt": grid.GRIDS["dt"]})
 
 
 QUERIES["campaign"] = QUERIES.pop("campaign_run")

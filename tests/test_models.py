@@ -166,3 +166,43 @@ def test_campaign_and_scoring_of_a_request(spark):
     wide = scoring.score_wide(items, asked, known)
     assert wide.columns == ["row_id", "structure", "rule"] and wide.count() == 150
     assert scoring.score_wide(items, asked.limit(0), known).count() == 0
+
+
+def test_smaller_sizes_are_starts_of_the_largest_fit(planted):
+    rows = planted.select("row_id", "hit", "bits")
+    small, large = ({"learning_rate": 0.1, "n_estimators": n, "max_depth": 2} for n in (3, 6))
+    assert estimators.shared_fits("gbt", [small, large]) == {0: (1, 3), 1: (1, 6)}
+    alone = estimators.fit(planted, "gbt", small, WIDTH).score(rows)
+    start = estimators.fit(planted, "gbt", large, WIDTH).first(3).score(rows)
+    assert [r.score for r in start.orderBy("row_id").collect()] == [r.score for r in alone.orderBy("row_id").collect()]
+    forest = estimators.fit(planted, "rf", {"n_estimators": 4}, WIDTH)
+    data = fingerprint.feature_vector(rows, WIDTH).orderBy("row_id").collect()
+    got = [r.score for r in forest.first(2).score(rows).orderBy("row_id").collect()]
+    assert got == pytest.approx([sum(t.predict(r.features) for t in forest.model.trees[:2]) / 2 for r in data])
+
+
+SEARCHES = {
+    "cl_decision_tree": "dt", "cl_logistic": "logistic", "cl_random_forest": "rf", "cl_gbt": "gbt", "cl_regularised_boost": "xgb",
+    "cl_pls_da": "pls", "cv_grid_search": "dt", "cv_plain": "dt",
+}
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_registered_searches_take_whole_grids_five_folds_both_assays(spark, monkeypatch, name):
+    from plurifit.operators import grid
+    from plurifit.workload import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(folded, by, campaigns, model, params, k=5, **_):
+        assert model == SEARCHES[name] and k == 5
+        assert params == grid.expand(grid.GRIDS.get(model, {"n_components": [1, 2]}))
+        assert {r.assay for r in folded.select("assay").distinct().collect()} == set(queries.ASSAYS)
+        assert {r.fold for r in folded.select("fold").distinct().collect()} == set(range(5))
+        assert model == "dt" or {c["assay"] for c in campaigns} == set(queries.ASSAYS)
+        raise Seen
+
+    monkeypatch.setattr(queries.search, "cross_validate", seen)
+    with pytest.raises(Seen):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
