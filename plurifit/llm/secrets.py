@@ -5,8 +5,8 @@ Candidates are runs of 20 or more characters of the widest key alphabet. Each is
 alphabet, runs above and below its middle, and lag-one serial correlation. The worst of the three, as a normal deviate, says how far
 from random a run is.
 
-Ordinary text read the same way gives the null: every document lends one run of its own letters, of one of a few lengths, so
-a candidate is compared with text of its own length. The share of null runs that look at least as random is its p-value, and Benjamini-Hochberg over
+Ordinary text read the same way gives the null: every distinct text lends all its letters, cut into consecutive stretches of each of a few
+lengths, so a candidate is compared with text of its own length. Base spans and candidates are cut out first, and no stretch crosses one. The share of null runs that look at least as random is its p-value, and Benjamini-Hochberg over
 all candidates of the table decides which are added. Counts of the null and of the candidates are kept per length
 class and deviate, a table of bounded size.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import broadcast_if_small
 from ..session import materialise
 from .common import text_of
 
@@ -36,6 +37,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 LENGTHS = (20, 24, 32, 40, 48, 64, 96)
 DISCOVERY_RATE = 0.05
 MOST_DEVIATE = 400
+BROADCAST_DIGESTS = 500_000
 
 
 def _let(value: Column, use) -> Column:
@@ -107,7 +109,7 @@ def _codes(bare: Column, size: Column) -> Column:
 def _worst(v: Column, size: Column, high: Column, sums: Column, variance: Column) -> Column:
     n, ups, mean = sums["n"], sums["ups"], sums["mean"]
     places = F.sequence(F.lit(1), F.size(v) - 1)
-    squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0)))
+    squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow((F.size(v) - F.size(F.array_remove(v, c))).cast("double"), F.lit(2.0)))
     chi = _normal_of_chi(squares * size / n - n, size - 1.0)
     changes = F.aggregate(places, F.lit(0.0), lambda s, i: s + (F.get(high, i) != F.get(high, i - 1)).cast("double"))
     lag = F.aggregate(places, F.lit(0.0), lambda s, i: s + (F.get(v, i) - mean) * (F.get(v, i - 1) - mean)) / variance
@@ -128,7 +130,7 @@ def deviate(run: Column) -> Column:
     def sums(v: Column, high: Column) -> Column:
         n = F.size(v).cast("double")
         return F.struct(
-            n.alias("n"), F.aggregate(high, F.lit(0.0), lambda s, x: s + x.cast("double")).alias("ups"),
+            n.alias("n"), F.size(F.array_remove(high, False)).cast("double").alias("ups"),
             (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n).alias("mean"),
         )
 
@@ -152,15 +154,37 @@ def length_class(length: Column) -> Column:
     return found
 
 
-def null_runs(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(class, deviate) of one run of letters and digits out of every text, its place and length chosen by a hash of the text."""
-    pick = F.xxhash64(text)
-    length = F.get(F.array(*map(F.lit, LENGTHS)), F.pmod(pick, F.lit(len(LENGTHS))).cast("int"))
-    room = F.greatest(F.char_length(text) - 3 * length, F.lit(1))
-    part = F.substring(text, (F.pmod(F.shiftright(pick, 8), room) + 1).cast("int"), 3 * length)
-    letters = F.substring(F.regexp_replace(part, "[^A-Za-z0-9+/]", ""), F.lit(1), length)
-    runs = df.select(length.alias("class"), letters.alias("run")).filter(F.char_length("run") == F.col("class"))
-    return runs.select("class", deviate(F.col("run")).alias("deviate")).filter(F.col("deviate").isNotNull())
+def ordinary_parts(text: Column) -> Column:
+    """Letters and digits of what lies between base spans and candidates, one string for each gap."""
+    spans = F.array_sort(F.concat(
+        F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))),
+        F.transform("runs", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))),
+    ))
+    ends = F.concat(spans, F.array(F.struct(F.char_length(text).alias("start"), F.char_length(text).alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s: Column, span: Column) -> Column:
+        part = F.regexp_replace(F.substring(text, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0))), "[^A-Za-z0-9+/]", "")
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["parts"], F.array(part)).alias("parts"))
+
+    return F.filter(F.aggregate(ends, start, step, lambda s: s["parts"]), lambda part: F.length(part) >= LENGTHS[0])
+
+
+def null_runs(texts: DataFrame) -> DataFrame:
+    """(class, deviate) of every consecutive stretch of each class in the ``parts`` of every distinct text.
+
+    ``texts`` has (digest, place, parts); of rows of one digest the one with the least place counts.
+    """
+    least = texts.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    once = texts.join(broadcast_if_small(least, BROADCAST_DIGESTS), "digest", "left").filter("first IS NULL OR place = first")
+
+    def stretches(n: int) -> Column:
+        cut = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit(f".{{{n}}}"), F.lit(0))))
+        return F.transform(cut, lambda run: F.struct(F.lit(n).alias("class"), run.alias("run")))
+
+    runs = once.select(F.explode(F.concat(*map(stretches, LENGTHS))).alias("r")).select("r.class", "r.run")
+    # never null: a stretch has 20 symbols or more (a filter would make Spark compute every deviate twice)
+    return runs.select("class", deviate(F.col("run")).alias("deviate"))
 
 
 def discoveries(null: DataFrame, found: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
@@ -186,20 +210,22 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", rate: float = D
 
     Counts and digest of the three kinds are of the patterns; ``spans`` holds all, added ones as kind ``random``.
     """
-    texts = df.select(F.col(key), text_of(text).alias("_text_"))
+    read = df.select(F.col(key), text_of(text).alias("_text_"))
     value = F.col("_text_")
-    spotted = with_spans(texts, value).select(
+    spotted = with_spans(read, value).select(
         key, "base",
         F.transform("runs", lambda r: F.struct(
             r["start"].alias("start"), r["end"].alias("end"), length_class(r["end"] - r["start"]).alias("class"), deviate(r["value"]).alias("deviate")
         )).alias("runs"),
+        F.sha2(value, 256).alias("digest"), F.monotonically_increasing_id().alias("place"), ordinary_parts(value).alias("parts"),
     )
     spotted = materialise(spotted, "secrets")
+    texts = spotted.select("digest", "place", "parts")
     candidates = spotted.filter(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.class", "r.deviate").filter(F.col("deviate").isNotNull())
-    chosen = discoveries(null_runs(texts, key, value), candidates, rate)
+    chosen = discoveries(null_runs(texts), candidates, rate)
     # one row: at most one entry for each of the fixed length classes
     limits = materialise(chosen.agg(F.map_from_entries(F.collect_list(F.struct("class", "most"))).alias("limits")).withColumn("one", F.lit(1)), "secrets-limits")
-    judged = spotted.withColumn("one", F.lit(1)).join(F.broadcast(limits), "one", "left")
+    judged = spotted.drop("digest", "place", "parts").withColumn("one", F.lit(1)).join(F.broadcast(limits), "one", "left")
     added = F.filter("runs", lambda r: F.coalesce(r["deviate"] <= F.element_at("limits", r["class"]), F.lit(False)))
 
     def written(spans: Column) -> Column:

@@ -305,6 +305,20 @@ def test_random_runs_are_told_from_words(spark):
     assert max(found[:10]) < min(found[10:])
 
 
+def test_null_runs_are_all_stretches_of_distinct_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    key, named = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(44)), "password = hunter22hunter22hunter22"
+    long, short = " ".join(rng.choice(["plain", "words", "of", "a", "text"]) for _ in range(900)), "just a few words that make one short text"
+    texts = [long, short, *[f"{short} {key} {long[:300]} {named} {long[:90]}"] * 40, None, ""]
+    got = []
+    whole = secrets.discoveries
+    monkeypatch.setattr(secrets, "discoveries", lambda null, *rest: (got.append(Counter(r[0] for r in null.collect())), whole(null, *rest))[1])
+    found = secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    parts = [re.sub("[^A-Za-z0-9+/]", "", p) for p in (long, short, short, long[:300], long[:90])]
+    assert got == [Counter({n: sum(len(p) // n for p in parts) for n in secrets.LENGTHS})]
+    assert found.count() == len(texts) and found.filter("n_random = 1").count() == 40
+
+
 def test_pipeline_steps(spark, table, labels, tmp_path):
     import corpus_pipeline
 
