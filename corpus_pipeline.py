@@ -17,8 +17,13 @@ BROADCAST_KEYS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity score reaches the threshold. Rows with null or empty texts stay."""
-    weights, bias = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    """Without the documents whose toxicity score reaches the threshold. Rows with null or empty texts stay.
+
+    A model that saw no example of both classes cannot tell documents apart, so then all of them stay.
+    """
+    weights, bias, n_clean, n_toxic = toxicity.fit_counted(docs, table(spark, sf_dir, "labels"))
+    if not (n_clean and n_toxic):
+        return docs
     scored = toxicity.score(docs, weights, bias, keep=docs.columns)
     return scored.filter((F.col("_predicted_") == 0) | (F.coalesce(F.length("text"), F.lit(0)) == 0)).select(docs.columns)
 

@@ -114,11 +114,19 @@ def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _trained(examples: pa.Table) -> pa.Table:
     rows = sorted(zip(*(examples.column(c).to_pylist() for c in ("place", "toxic", "slots"))))
     at, w, bias = train([(unpack(s)[0], y) for _, y, s in rows])
-    return pa.table({"slot": pa.array(np.append(at, int(SLOTS) + 1), pa.int64()), "weight": pa.array(np.append(w, bias), pa.float64())})
+    # two more entries: how many examples were clean and how many toxic
+    toxic = sum(y != 0 for _, y, _ in rows)
+    slots_, values = [*at, int(SLOTS) + 1, int(SLOTS) + 2, int(SLOTS) + 3], [*w, bias, len(rows) - toxic, toxic]
+    return pa.table({"slot": pa.array(slots_, pa.int64()), "weight": pa.array(values, pa.float64())})
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """(weight of every slot, bias) learned from labelled rows that are not held out. At most ``sample`` texts meet in the training task."""
+    return fit_counted(df, labels, key, text, sample)[:2]
+
+
+def fit_counted(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float, int, int]:
+    """``fit``, and the numbers of clean and of toxic examples it saw."""
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(key))
         .groupBy(key).agg(F.max("toxic").cast("long").alias("toxic"))
@@ -127,9 +135,9 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     texts = df.filter(F.col(key).isNotNull()).select(key, text_of(text).alias("text")).join(F.broadcast(chosen), key)
     examples = texts.select("place", "toxic", "text").mapInArrow(_example_rows, "place long, toxic long, slots binary")
     rows = examples.withColumn("task", F.lit(1)).groupBy("task").applyInArrow(_trained, "slot long, weight double").toArrow()
-    dense = np.zeros(int(SLOTS) + 2)
+    dense = np.zeros(int(SLOTS) + 4)
     dense[rows.column("slot").to_numpy()] = rows.column("weight").to_numpy()
-    return dense[:-1], float(dense[-1])
+    return dense[:-3], float(dense[-3]), int(dense[-2]), int(dense[-1])
 
 
 def score(df: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

@@ -319,6 +319,14 @@ def test_null_runs_are_all_stretches_of_distinct_texts(spark, monkeypatch):
     assert found.count() == len(texts) and found.filter("n_random = 1").count() == 40
 
 
+@pytest.mark.parametrize("given_labels", [[], [(3, 1, None)], [(999, 1, 1), (998, 1, 0)], [(k, 1, 0) for k in range(18)], [(k, 1, 1) for k in range(18)]])
+def test_toxic_stage_keeps_all_without_both_classes(spark, table, tmp_path, given_labels):
+    import corpus_pipeline
+
+    spark.createDataFrame(given_labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, table, str(tmp_path)).count() == table.count()
+
+
 def test_pipeline_steps(spark, table, labels, tmp_path):
     import corpus_pipeline
 
