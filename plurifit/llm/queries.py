@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, contamination, html_text, jaccard, pieces, pii, quality, repeats, secrets, toxicity
+from . import byte_bpe, contamination, html_text, jaccard, negatives, packing, pieces, pii, prefix_tree, quality, repeats, secrets, toxicity
 from .common import documents, table
 
 
@@ -60,7 +60,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_html_text, op5_byte_bpe, op6_toxicity, op7_jaccard_join, op8_decontamination, op9_pii, op10_secrets)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector."""
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and the sequences they are packed into."""
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op13_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the tree of shared conversation prefixes."""
+    return prefix_tree.prefix_tree(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_token_counts, op2_quality_rules, op3_suffix_dedup, op4_html_text, op5_byte_bpe, op6_toxicity, op7_jaccard_join, op8_decontamination, op9_pii,
+    op10_secrets, op11_hard_negatives, op12_packing, op13_prefix_tree,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
