@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,12 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import broadcast_if_small
 from ..session import materialise
-from .common import text_of, use_package
+from .common import WORDS, text_of, use_package
 
 CAPACITY = 2048
 CLASS = 4
-END = 1
+END_BYTES = np.array([1], "<u4").tobytes()
+MEMO_BYTES = 100_000_000
 TOKENIZER = "word_bpe_49k.json"
 BATCH_CHARS = 500_000
 OFFSET_ROWS = 200_000
@@ -40,15 +40,34 @@ GAP = 1e-3  # the program ends when its value is proven to be within this part o
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, number long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds(dict):
+    """Ids of words as packed integers, each word encoded once by the library.
 
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
+    This tokenizer never joins or looks across white space, so the ids of a text are those of its words in order. Words are forgotten when they
+    take more than ``MEMO_BYTES``; that only costs time.
+    """
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.held = Tokenizer.from_file(path), 0
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def of(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of every text."""
+        words = [WORDS.findall(t) for t in texts]
+        missing = list({w for ws in words for w in ws if w not in self})
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held, missing = 0, list({w for ws in words for w in ws})
+        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            self[word] = np.array(found.ids, "<u4").tobytes()
+            self.held += 160 + len(word) + len(self[word])
+        for ws in words:
+            yield np.frombuffer(b"".join(map(self.__getitem__, ws)) + END_BYTES, "<u4")
 
 
 def _portions(texts: list[str]) -> Iterator[list[str]]:
@@ -70,14 +89,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = _tokenizer(tokenizer or public_tokenizers.path(TOKENIZER))
+        words = WordIds(tokenizer or public_tokenizers.path(TOKENIZER))
         task, counters = TaskContext.get().partitionId(), [0] * (-(-CAPACITY // CLASS) + 1)
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []
             at = 0
             for portion in _portions(batch.column(1).to_pylist()):
-                for found in encode.encode_batch_fast(portion, add_special_tokens=False):
-                    ids = np.array(found.ids + [END], "<u4")
+                for ids in words.of(portion):
                     for start in range(0, len(ids), CAPACITY):
                         part = ids[start : start + CAPACITY]
                         kind = -(-len(part) // CLASS)
