@@ -14,8 +14,11 @@ whole, by one task. Other columns, whatever their names, are not read. An empty
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ CAPACITY = 2048
 CLASS = 4
 END_BYTES = np.array([1], "<u4").tobytes()
 MEMO_BYTES = 100_000_000
+WORDS_A_CALL = 1000
+# Texts of these letters mean the same in lower case to the tokenizer, which composes characters and lowers them one by one.
+_LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]*")
 TOKENIZER = "word_bpe_49k.json"
 BATCH_CHARS = 500_000
 OFFSET_ROWS = 200_000
@@ -38,12 +44,20 @@ STEADY = 0.7
 GAP = 1e-3  # the program ends when its value is proven to be within this part of the best, or within half a sequence
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, number long"
+CLOSING = ".,;:!?"  # marks that are cut off the end of a word by the tokenizer as well
+
+
+def _words(text: str) -> list[str]:
+    """Stretches without white space of ASCII."""
+    if _LATIN.fullmatch(text):
+        return (text if "<|" in text else text.lower()).split()
+    return WORDS.findall(text)
 
 
 class WordIds(dict):
     """Ids of words as packed integers, each word encoded once by the library.
 
-    This tokenizer never joins or looks across white space, so the ids of a text are those of its words in order. Words are forgotten when they
+    This tokenizer never joins or looks across white space, so the ids of a text are those of its words in order, in upper or lower case alike. Words are forgotten when they
     take more than ``MEMO_BYTES``; that only costs time.
     """
 
@@ -55,20 +69,52 @@ class WordIds(dict):
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of every text."""
-        words = [WORDS.findall(t) for t in texts]
-        missing = list({w for ws in words for w in ws if w not in self})
+        words = [_words(t) for t in texts]
         if self.held > MEMO_BYTES:
             self.clear()
-            self.held, missing = 0, list({w for ws in words for w in ws})
-        for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-            self.held += 160 + len(word) + len(self[word])
+            self.held = 0
+        self._learn([w for w in set(chain.from_iterable(words)) if w not in self])
         for ws in words:
             yield np.frombuffer(b"".join(map(self.__getitem__, ws)) + END_BYTES, "<u4")
 
+    def _learn(self, words: list[str]) -> None:
+        """Adds new words; closing marks are cut off first and their ids added.
+
+        Words of letters alone end with their first token that ends a word, so many of them go into one call.
+        """
+        closed, new = {}, []
+        for w in words:
+            if w[-1] in CLOSING:
+                core = w.rstrip(CLOSING)
+                if core and core[-1] < "\u0250" and core[-1] != "\u0130" and core[-1].isalnum():
+                    closed[w] = core
+                    continue
+            new.append(w)
+        parts = {p for w, core in closed.items() for p in (core, w[len(core) :])}
+        new = [p for p in parts.union(new) if p not in self]
+        plain = [w for w in new if w.isalpha() and _LATIN.fullmatch(w)]
+        other = list(set(new).difference(plain))
+        for at in range(0, len(plain), WORDS_A_CALL):
+            part = plain[at : at + WORDS_A_CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                other += part
+                continue
+            whole = ids.tobytes()
+            self.update(zip(part, [whole[a:b] for a, b in zip([0, *ends], ends)]))
+        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self[word] = np.array(found.ids, "<u4").tobytes()
+        for word, core in closed.items():
+            self[word] = self[core] + self[word[len(core) :]]
+        self.held += 180 * (len(new) + len(closed)) + 10 * sum(map(len, new))
+
 
 def _portions(texts: list[str]) -> Iterator[list[str]]:
     """Texts in order, a bounded number of characters at a time."""
@@ -151,11 +197,16 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
     inverse = np.diag([1.0 / (capacity // w) for w in classes])
     cost, amount = np.ones(m), inverse @ want
 
-    def step(column: np.ndarray, price: float, pattern: dict[int, int]) -> bool:
-        nonlocal inverse, amount
-        if price - cost @ (inverse @ column) > -1e-9:
+    dual = cost @ inverse
+
+    def step(pattern: dict[int, int], price: float, sign: float = 1.0) -> bool:
+        nonlocal inverse, amount, dual
+        at = [place[w] for w in pattern]
+        times = sign * np.array(list(pattern.values()), np.float64)
+        gain = price - float(dual[at] @ times)
+        if gain > -1e-9:
             return False
-        way = inverse @ column
+        way = inverse[:, at] @ times
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = np.where(way > 1e-9, amount / way, np.inf)
         out = int(ratio.argmin())
@@ -163,24 +214,20 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
             return False
         row = inverse[out] / way[out]
         left = amount[out] / way[out]
-        inverse = inverse - np.outer(way, row)
+        inverse -= np.outer(way, row)
         inverse[out] = row
-        amount = amount - way * left
-        amount[out] = left
-        amount = np.maximum(amount, 0.0)
-        cost[out], columns[out] = price, pattern
+        amount = np.maximum(amount - way * left, 0.0)
+        amount[out] = max(left, 0.0)
+        dual = dual + gain * row
+        cost[out], columns[out] = price, pattern if sign > 0 else {}
         return True
 
     # Prices between the program's duals and those of the best bound so far keep the columns from jumping about; the first are the lengths themselves.
     steady, bound, part = classes / capacity, float(want @ classes) / capacity, STEADY
     for _ in range(50 * m):
         dual = cost @ inverse
-        if dual.min() < -1e-9:  # more pieces than wanted: the column that takes one away
-            i = int(dual.argmin())
-            unit = np.zeros(m)
-            unit[i] = -1.0
-            if step(unit, 0.0, {}):
-                continue
+        if dual.min() < -1e-9 and step({int(classes[dual.argmin()]): 1}, 0.0, -1.0):  # more pieces than wanted: the column that takes one away
+            continue
         mixed = part * steady + (1 - part) * np.maximum(dual, 0.0)
         price = np.full(capacity + 1, -1.0)
         price[classes] = mixed
@@ -198,11 +245,7 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
             if taken in seen:
                 continue
             seen.add(taken)
-            column, pattern = np.zeros(m), {}
-            for c in taken:
-                column[place[c]] += 1
-                pattern[c] = pattern.get(c, 0) + 1
-            moved |= step(column, 1.0, pattern)
+            moved |= step(dict(Counter(taken)), 1.0)
         if not moved and part == 0.0:
             break
         part = STEADY if moved else 0.0
