@@ -1,5 +1,6 @@
 """Trees, estimators, search, registry and scoring."""
 
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from plurifit.operators import fingerprint, sampling, trees
-from plurifit.plans import campaign, estimators, scoring, search
+from plurifit.plans import campaign, estimators, joint, scoring, search
 from plurifit.session import scratch_path
 from plurifit.sources import registry
 
@@ -132,6 +133,83 @@ def test_search_keeps_synthetic_rows_out_of_validation(spark, planted):
     assert found.count() == 12
 
 
+def boosted(rows, rule, rounds, measured):
+    """Plain boosting: scores of ``measured`` rows after each round."""
+    p = sum(y for y, _ in rows) / len(rows)
+    start = math.log(p / (1 - p))
+    margins, out, scored = [start] * len(rows), [start] * len(measured), []
+    for _ in range(rounds):
+        ps = [1 / (1 + math.exp(-m)) for m in margins]
+        stats = [(y - q, q * (1 - q)) for (y, _), q in zip(rows, ps)]
+        penalty = rule.get("leaf_penalty", 0.0)
+
+        def grow(at, depth):
+            g, h = sum(stats[i][0] for i in at), sum(stats[i][1] for i in at)
+            best = None
+            for bit in range(WIDTH) if depth < rule["depth"] else ():
+                on, off = [i for i in at if bit in rows[i][1]], [i for i in at if bit not in rows[i][1]]
+                if not on or not off:
+                    continue
+                (ga, ha), (gb, hb) = [[sum(stats[i][k] for i in side) for k in (0, 1)] for side in (on, off)]
+                if rule["kind"] == "gbt":
+                    gain, fits = len(on) * len(off) / len(at) * (ga / len(on) - gb / len(off)) ** 2, True
+                else:
+                    gain = ga**2 / (ha + penalty) + gb**2 / (hb + penalty) - g**2 / (h + penalty)
+                    fits = min(ha, hb) >= rule["min_child_weight"] and gain >= rule["gamma"]
+                if fits and gain > 1e-9 and (best is None or round(gain, 10) > best[0]):
+                    best = round(gain, 10), bit, on, off
+            if best is None:
+                return rule["learning_rate"] * g / (h + penalty)
+            return best[1], grow(best[3], depth + 1), grow(best[2], depth + 1)
+
+        def value(tree, bits):
+            while isinstance(tree, tuple):
+                tree = tree[2] if tree[0] in bits else tree[1]
+            return tree
+
+        tree = grow(range(len(rows)), 0)
+        margins = [m + value(tree, b) for m, (_, b) in zip(margins, rows)]
+        out = [m + value(tree, b) for m, (_, b) in zip(out, measured)]
+        scored.append([1 / (1 + math.exp(-m)) for m in out])
+    return scored
+
+
+@pytest.mark.parametrize("rows_per_task", [65536, 0])
+@pytest.mark.parametrize("model, params", [
+    ("gbt", [{"learning_rate": r, "n_estimators": n, "max_depth": d} for r in (0.05, 0.1) for n in (2, 4) for d in (1, 3)]),
+    ("xgb", [{"min_child_weight": w, "max_depth": d, "gamma": g, "n_estimators": 3} for w in (1, 5) for d in (3, 6) for g in (0.0, 1.0)]),
+])
+def test_joint_boosting_against_plain(spark, planted, monkeypatch, rows_per_task, model, params):
+    monkeypatch.setattr(joint, "ROWS_PER_TASK", max(rows_per_task, 1))
+    parts = planted.withColumn("train", F.col("row_id") % 5 != 0).withColumn("cv_fold", F.col("row_id") % 2)
+    seen = {}
+    real = joint._measured
+    monkeypatch.setattr(joint, "_measured", lambda scores, by: seen.setdefault("s", scores.cache()) and real(scores, by))
+    found = joint.search_boosted(parts, ["assay", "fp"], model, params, WIDTH)
+    assert found.count() == 2 * len(params)
+    got = {}
+    for r in seen["s"].collect():
+        got.setdefault((r.cv_fold, r.param_idx), []).append((r.y, round(r.score, 8)))
+    for fold in (0, 1):
+        rows = [(r.row_id, r.hit, set(r.bits)) for r in planted.collect() if r.row_id % 2 == fold]
+        train, held = [(y, b) for i, y, b in rows if i % 5], [(y, b) for i, y, b in rows if not i % 5]
+        for i, p in enumerate(params):
+            plain = boosted(train, joint.rule_of(model, p), p["n_estimators"], held)[-1]
+            assert sorted(got[fold, i]) == sorted((y, round(s, 8)) for (y, _), s in zip(held, plain))
+
+
+def test_joint_linear_fits_agree_with_single_ones(spark, planted):
+    parts = planted.select("assay", "fp", "row_id", "hit", "bits", F.lit(True).alias("train"), F.lit(0).alias("cv_fold")).cache()
+    params = [{"C": c, "penalty": p} for c in (0.1, 1, 20) for p in ("l1", "l2")]
+    blocks = joint.Blocks(parts, ["assay", "fp", "cv_fold"], WIDTH, 1)
+    weights = joint.newton(blocks, params)[0]
+    for i, p in enumerate(params):
+        single = estimators.fit(planted, "logistic", p, WIDTH).model
+        expected = [*single.coefficients.toArray(), single.intercept]
+        assert list(weights[:, i]) == pytest.approx(expected, abs=2e-3)
+    assert any(w == 0 for w in weights[:-1, 0])
+
+
 def test_search_resumes_from_the_store(spark, planted):
     folded = sampling.stratified_folds(planted, ["assay", "fp"], 3).cache()
     store = scratch_path(spark, "store")
@@ -170,11 +248,6 @@ def test_campaign_and_scoring_of_a_request(spark):
 
 def test_smaller_sizes_are_starts_of_the_largest_fit(planted):
     rows = planted.select("row_id", "hit", "bits")
-    small, large = ({"learning_rate": 0.1, "n_estimators": n, "max_depth": 2} for n in (3, 6))
-    assert estimators.shared_fits("gbt", [small, large]) == {0: (1, 3), 1: (1, 6)}
-    alone = estimators.fit(planted, "gbt", small, WIDTH).score(rows)
-    start = estimators.fit(planted, "gbt", large, WIDTH).first(3).score(rows)
-    assert [r.score for r in start.orderBy("row_id").collect()] == [r.score for r in alone.orderBy("row_id").collect()]
     forest = estimators.fit(planted, "rf", {"n_estimators": 4}, WIDTH)
     data = fingerprint.feature_vector(rows, WIDTH).orderBy("row_id").collect()
     got = [r.score for r in forest.first(2).score(rows).orderBy("row_id").collect()]
