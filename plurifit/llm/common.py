@@ -60,12 +60,30 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(over, schema)
 
 
+ROWS_AT_ONCE = 1000
+
+
+def in_task(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *memos: dict) -> Callable:
+    """A function for ``mapInArrow`` that gets few texts at a time and forgets its words when the task ends, since workers go on to other tasks."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        finally:
+            for memo in memos:
+                memo.clear()
+
+    return over
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound that only limits memory."""
 
+    limit = MEMO_WORDS
+
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         self[word] = value
         return value

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, shingle_ids, text_of, word_ids
+from .common import WordHashes, in_task, shingle_ids, text_of, word_ids
 
 SEED = 5
 COVERAGE = 0.5
@@ -147,7 +147,7 @@ def _over_broadcast(df, items, keys, words, seed, least, key, text, item_key):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    return df.select(F.col(key), text_of(text).alias("text")).mapInArrow(over, schema)
+    return df.select(F.col(key), text_of(text).alias("text")).mapInArrow(in_task(over, _memo), schema)
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch], seed: int, sizes: list[int] | None) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import broadcast_if_small
 from ..session import materialise
-from .common import WordHashes, mix, shingle_ids, text_of, word_ids
+from .common import WordHashes, in_task, mix, shingle_ids, text_of, word_ids
 from .components import components
 
 SHINGLE = 5
@@ -44,7 +44,7 @@ PERCENT = 80
 COUNTED_TOGETHER = 4_000_000
 WIDESPREAD_IN_TASK = 3
 WIDESPREAD_TOKENS = 200_000
-PORTION = 256
+PORTION = 128
 GROUP_ROWS = 5_000
 CENTRAL_ROUNDS = 2
 LISTED = 512
@@ -129,11 +129,16 @@ def _survey(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     """(key, n, digest) of every document, and (token, count) of tokens met often in one task."""
 
     def often(parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        held = counts >= WIDESPREAD_IN_TASK
-        n = int(held.sum())
+        every = np.concatenate(parts)
+        parts.clear()
+        every.sort()
+        # where WIDESPREAD_IN_TASK equal ones begin, and of these only the first of each token
+        begins = np.flatnonzero(every[: 1 - WIDESPREAD_IN_TASK] == every[WIDESPREAD_IN_TASK - 1 :])
+        tokens = np.unique(every[begins])
+        counts = np.searchsorted(every, tokens, "right") - np.searchsorted(every, tokens, "left")
+        n = len(tokens)
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.array(counts[held].astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(tokens[held].astype(np.int64))], names=names
+            [pa.nulls(n, pa.int64()), pa.array(counts.astype(np.int64)), pa.nulls(n, pa.binary()), pa.array(tokens.astype(np.int64))], names=names
         )
 
     names = ["key", "n", "digest", "token"]
@@ -206,7 +211,7 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     numbered = materialise(numbered, "pairs")
     wanted = numbered.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     chosen = texts.join(broadcast_if_small(wanted, BROADCAST_KEYS), "key")
-    sets = materialise(chosen.mapInArrow(lambda b: _set_rows(b, size), "key long, tokens binary"), "sets")
+    sets = materialise(chosen.mapInArrow(in_task(lambda b: _set_rows(b, size), _memo), "key long, tokens binary"), "sets")
     leaders = numbered.select("a", "portion").distinct().join(sets.toDF("a", "tokens"), "a").toDF("a", "portion", "tokens")
     members = numbered.join(sets.toDF("b", "tokens"), "b").select("a", "portion", "b", "tokens").toDF("a", "portion", "b", "tokens")
     found = leaders.groupBy("a", "portion").cogroup(members.groupBy("a", "portion")).applyInArrow(lambda x, y: _compare(x, y, percent), "a long, b long")
@@ -270,21 +275,51 @@ def _with_lists(members: DataFrame) -> DataFrame:
     return materialise(listed.unionByName(plain), "members")
 
 
+def _digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [hashlib.md5(shingles(t, size).tobytes()).digest() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=["key", "text", "least", "digest"])
+
+
+def _one_set_each(nodes: DataFrame, known: DataFrame, size: int):
+    """Nodes and texts in which no key has several sets, ties between keys, and the least real key (``None``: nothing was changed).
+
+    A key with several sets keeps the set with the least digest; a number below all keys, made from the digest, stands in for it at each of the
+    others and is tied to it. Equal sets of different keys get one number.
+    """
+    several = materialise(nodes.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("key", "least"), "several")
+    nothing = nodes.sparkSession.createDataFrame([], "a long, b long")
+    if several.isEmpty():
+        return nodes, known, nothing, None
+    start = nodes.agg(F.min("key")).first()[0]
+    several = broadcast_if_small(several, BROADCAST_KEYS)
+    other = F.lit(start) - 1 - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
+    own = F.when(F.col("least").isNull() | (F.col("digest") == F.col("least")), F.col("key")).otherwise(other)
+    marked = nodes.join(several, "key", "left").withColumn("own", own)
+    ties = marked.filter("own <> key").select(F.col("key").alias("one"), F.col("own").alias("two")).distinct()
+    apart = known.join(several, "key").select("key", "text", "least").mapInArrow(
+        in_task(lambda b: _digests(b, size), _memo), "key long, text string, least binary, digest binary"
+    ).select(own.alias("key"), "text")
+    texts = known.join(several, "key", "left_anti").unionByName(apart)
+    return marked.select(F.col("own").alias("key"), "n", "digest"), texts, ties, start
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
     texts = df.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
-    survey = materialise(texts.mapInArrow(lambda b: _survey(b, size), "key long, n long, digest binary, token long"), "survey")
+    survey = materialise(texts.mapInArrow(in_task(lambda b: _survey(b, size), _memo), "key long, n long, digest binary, token long"), "survey")
     sets = survey.filter("digest IS NOT NULL")
     widespread, rank, salts = _widespread(survey.filter("digest IS NULL"))
 
     known = texts.filter("key IS NOT NULL")
-    nodes = sets.filter("key IS NOT NULL AND n > 0")
+    nodes = sets.filter("key IS NOT NULL AND n > 0").select("key", "n", "digest")
+    nodes, known, ties, several = _one_set_each(nodes, known, size)
     named = nodes.groupBy("digest").agg(F.min("key").alias("node"))
-    node_of = materialise(nodes.join(named, "digest").groupBy("key").agg(F.min("node").alias("node"), F.max("node").alias("other")), "nodes")
-    # a key whose rows have several sets ties their nodes together
-    ties = nodes.join(named, "digest").select("key", "node").join(node_of.filter("node <> other").select("key", F.col("node").alias("first")), "key").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    node_of = materialise(nodes.join(named, "digest").groupBy("key").agg(F.min("node").alias("node")), "nodes")
+    if several is not None:
+        ties = ties.join(node_of.toDF("one", "a"), "one").join(node_of.toDF("two", "b"), "two").select("a", "b")
 
-    postings = known.mapInArrow(lambda b: _postings(b, size, percent, widespread, rank, salts), "token long, salt int, key long")
+    postings = known.mapInArrow(in_task(lambda b: _postings(b, size, percent, widespread, rank, salts), _memo), "token long, salt int, key long")
     group = Window.partitionBy("token", "salt")
     grouped = postings.select("token", "salt", "key", F.min("key").over(group).alias("leader"), F.max("key").over(group).alias("high"))
     shared = materialise(grouped.filter("leader < high OR salt >= 0").drop("high"), "shared")
@@ -332,6 +367,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
     last = components(links).toDF("node", "component")
     final = node.select("key", "node").join(last, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    if several is not None:  # the least key of a component, not counting the stand-ins
+        least = final.filter(F.col("key") >= several).groupBy("component_id").agg(F.min("key").alias("least"))
+        final = final.join(least, "component_id").select("key", F.col("least").alias("component_id"))
     return sets.join(final, "key", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )

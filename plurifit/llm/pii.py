@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import in_task, text_of
 
 # The kinds in the order in which they are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -71,7 +71,7 @@ _TOKEN = re.compile(r"\S+")
 _CORE = re.compile(r"[+(\[]*[^\W_].*[^\W_][)\]]*|[^\W_]", re.S)
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _features(token: str) -> tuple[str, ...]:
     core = _core(token)
     body = token[core[0] : core[1]]
@@ -324,7 +324,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str]
                 made.append(pa.array([spans_text(s) for s in every], pa.string()))
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    return df.select(*columns, text_of(text).alias("_text_")).mapInArrow(over, schema)
+    return df.select(*columns, text_of(text).alias("_text_")).mapInArrow(in_task(over), schema)
 
 
 def mask(text: str, spans: list[Span]) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROLL, WordHashes, mix, pack, text_of, unpack, word_ids
+from .common import ROLL, WordHashes, in_task, mix, pack, text_of, unpack, word_ids
 
 SLOT_BITS = 20
 SLOTS = np.uint64((1 << SLOT_BITS) - 1)
@@ -32,6 +32,7 @@ STEM = 5
 THRESHOLD = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 _memo, _stems = WordHashes(), WordHashes()
+MEMO = _memo.limit = _stems.limit = 150_000
 
 
 class Stems(dict):
@@ -39,7 +40,7 @@ class Stems(dict):
 
     def __missing__(self, word: str) -> int:
         value = _stems["^" + word[:STEM]]
-        if len(self) >= 400_000:
+        if len(self) >= MEMO:
             self.clear()
         self[word] = value
         return value
@@ -133,7 +134,7 @@ def fit_counted(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         .withColumn("place", F.xxhash64(F.col(key).cast("string"))).orderBy("place", key).limit(sample)
     )
     texts = df.filter(F.col(key).isNotNull()).select(key, text_of(text).alias("text")).join(F.broadcast(chosen), key)
-    examples = texts.select("place", "toxic", "text").mapInArrow(_example_rows, "place long, toxic long, slots binary")
+    examples = texts.select("place", "toxic", "text").mapInArrow(in_task(_example_rows, _memo, _stems, _stem_of), "place long, toxic long, slots binary")
     rows = examples.withColumn("task", F.lit(1)).groupBy("task").applyInArrow(_trained, "slot long, weight double").toArrow()
     dense = np.zeros(int(SLOTS) + 4)
     dense[rows.column("slot").to_numpy()] = rows.column("weight").to_numpy()
@@ -164,7 +165,7 @@ def score(df: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id",
             made = [*batch.columns[: len(columns)], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(made, schema=arrow)
 
-    return source.select(*columns, text_of(text).alias("_text_")).mapInArrow(over, schema)
+    return source.select(*columns, text_of(text).alias("_text_")).mapInArrow(in_task(over, _memo, _stems, _stem_of), schema)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

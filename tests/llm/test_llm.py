@@ -233,6 +233,15 @@ def test_near_duplicates(spark, table):
     assert found == Counter((r[0], len(shingles(r[1] or "")), None if r[0] is None else find(r[0])) for r in every)
 
 
+def test_near_duplicates_of_a_key_with_several_texts(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{name}{rng.randint(0, 500)}" for _ in range(60)) for name in "abc")
+    rows = [(5, a), (10, a), (10, b), (20, b + " more"), (20, c), (30, c), (0, "alone in here"), (40, None), (None, b)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (10, 5), (20, 5), (30, 5), (0, 0), (40, 40), (None, None)}
+
+
 def test_near_duplicates_of_nothing(table):
     assert jaccard.near_duplicates(table.limit(0)).count() == 0
 
