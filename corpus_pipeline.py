@@ -67,7 +67,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: Learned scores and spans and byte-pair merges are not SQL; the pipeline is tested against a plain version of each stage.
+#: Learned scores and spans and byte-pair merges are not SQL; the pipeline is tested by stage on small tables.
 ORACLE_SQL = None
 
 
