@@ -3,13 +3,15 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from plurifit.operators import fingerprint, sampling, trees
-from plurifit.plans import campaign, estimators, joint, scoring, search
+from plurifit.operators import forest_kernels
+from plurifit.plans import campaign, estimators, forest, joint, scoring, search
 from plurifit.session import scratch_path
 from plurifit.sources import registry
 
@@ -246,6 +248,76 @@ def test_campaign_and_scoring_of_a_request(spark):
     assert scoring.score_wide(items, asked.limit(0), known).count() == 0
 
 
+def plain_forest(rows, rule, n_trees, measured, seed=42):
+    """Forest by recursion over Python lists; only the hashed draws are shared with the operator."""
+    def order(node):
+        drawn = forest_kernels.mix(forest_kernels.salted(np.arange(WIDTH), 4) ^ np.uint64(node))
+        return sorted(range(WIDTH), key=lambda b: int(drawn[b]))
+
+    def gini(part):
+        w = sum(c for _, _, c in part)
+        p = sum(c for y, _, c in part if y) / w
+        return w * 2 * p * (1 - p)
+
+    def grow(part, node):
+        w, w1 = sum(c for _, _, c in part), sum(c for y, _, c in part if y)
+        best = None
+        if 0 < w1 < w and len(part) >= rule["need"]:
+            bits = order(node)
+            differ = [b for b in bits if 0 < sum(b in s for _, s, _ in part) < len(part)]
+            for bit in sorted({*bits[: rule["features"]], *differ[:1]}):
+                on, off = [r for r in part if bit in r[1]], [r for r in part if bit not in r[1]]
+                if bit not in differ or min(len(on), len(off)) < rule["leaf"]:
+                    continue
+                gain = round((gini(part) - gini(on) - gini(off)) / w, 8)
+                if best is None or gain > best[0]:
+                    best = gain, bit, off, on
+        if best is None:
+            return w1 / w
+        left, right = (int(c[0]) for c in forest_kernels.children(np.array([node], np.uint64)))
+        return best[1], grow(best[2], left), grow(best[3], right)
+
+    def share(tree, bits):
+        while isinstance(tree, tuple):
+            tree = tree[2] if tree[0] in bits else tree[1]
+        return tree
+
+    out = [0.0] * len(measured)
+    for t in range(n_trees):
+        drawn = forest_kernels.weights(np.array([i for i, _, _ in rows]), t, seed)
+        tree = grow([(y, b, int(c)) for (_, y, b), c in zip(rows, drawn) if c], int(forest_kernels.root(t, seed)[0]))
+        out = [s + share(tree, b) / n_trees for s, b in zip(out, measured)]
+    return out
+
+
+@pytest.mark.parametrize("rows_per_task, at_once", [(16384, 50), (12, 5)])
+def test_joint_forests_against_plain(spark, planted, monkeypatch, rows_per_task, at_once):
+    monkeypatch.setattr(forest, "ROWS_PER_TASK", rows_per_task)
+    monkeypatch.setattr(forest, "TREES_AT_ONCE", at_once)
+    params = [
+        {"n_estimators": n, "criterion": "gini", "min_samples_split": s, "min_samples_leaf": leaf, "max_features": f}
+        for n in (2, 3) for s, leaf, f in ((2, 1, "sqrt"), (4, 1, "log2"), (4, 3, "sqrt"))
+    ]
+    parts = planted.withColumn("train", F.col("row_id") % 5 != 0).withColumn("cv_fold", F.col("row_id") % 2)
+    got = {}
+    for r in forest.forest_scores(parts, ["assay", "fp", "cv_fold"], params, WIDTH, True, 42).collect():
+        got[r.cv_fold, r.param_idx, r.row_id] = r.score
+    assert len(got) == 150 * len(params)
+    for fold in (0, 1):
+        rows = [(r.row_id, r.hit, set(r.bits)) for r in planted.collect() if r.row_id % 2 == fold]
+        for i, p in enumerate(params):
+            plain = plain_forest([r for r in rows if r[0] % 5], forest.rule_of(p, WIDTH), p["n_estimators"], [b for _, _, b in rows])
+            assert [got[fold, i, r[0]] for r in rows] == pytest.approx(plain, abs=1e-9)
+    found = forest.search_forests(parts, ["assay", "fp"], params, WIDTH)
+    assert found.count() == 2 * len(params)
+
+
+def test_forest_draws():
+    drawn = forest_kernels.weights(np.arange(-50_000, 50_000), 3, 42)
+    assert abs(drawn.mean() - 1) < 0.02 and abs((drawn == 0).mean() - 0.3679) < 0.01
+    assert (forest_kernels.weights(np.arange(100), 4, 42) != forest_kernels.weights(np.arange(100), 3, 42)).any()
+
+
 def test_smaller_sizes_are_starts_of_the_largest_fit(planted):
     rows = planted.select("row_id", "hit", "bits")
     forest = estimators.fit(planted, "rf", {"n_estimators": 4}, WIDTH)
