@@ -15,8 +15,8 @@ phrases need to be looked at once:
 
 Work and rows follow the number of phrases, about one per 51 bytes, and of distinct phrases, not of copies.
 
-Null text is an empty text. Texts shorter than 200 bytes keep everything. Null keys are kept. Rows that repeat a key are rows of their own; a
-repeated row repeats all its strings, so texts of 200 bytes or more lose everything. An empty table gives an empty result.
+Null text is an empty text. Texts shorter than 200 bytes keep everything. Null keys are kept. Rows that repeat a key are rows of their own, told apart
+by a 64-bit digest of the text (128 bits where the key is null); a repeated row repeats all its strings, so texts of 200 bytes or more lose everything. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def phrases(data: np.ndarray, length: int, trigger: int):
     return firsts, lasts, at, hashes[at], mix(whole)
 
 
-ROW = "doc long, mark int, first int, last int, ahead int, key long, phrase long"
+ROW = "doc long, mark long, first int, last int, ahead int, key long, phrase long"
 
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _phrase_rows(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -
         if parts:
             first, last, at, key, phrase = (np.concatenate(x) for x in zip(*parts))
             yield pa.RecordBatch.from_arrays([
-                pa.array(docs, pa.int64()), pa.array(marks, pa.int32()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                pa.array(docs, pa.int64()), pa.array(marks, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
                 pa.array((at - first).astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(phrase.astype(np.int64)),
             ], names=names)
 
@@ -143,7 +143,7 @@ def _unpacked(blob: bytes, wide: tuple[bool, ...]) -> list[np.ndarray]:
 
 def _batch(doc, mark, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    front = [pa.array([doc] * n, pa.int64()), pa.array(np.full(n, mark, np.int32))]
+    front = [pa.array([doc] * n, pa.int64()), pa.array(np.full(n, mark, np.int64))]
     return pa.RecordBatch.from_arrays([*front, *(pa.array(v) for v in columns.values())], names=["doc", "mark", *columns])
 
 
@@ -204,7 +204,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _kept_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "parts"))):
+        for doc, named, text, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "named", "text", "parts"))):
             data = text.encode()
             gone = merged([(a, b + length) for a, b in zip(*(x.tolist() for x in unpack(blob)))]) if blob else []
             at, kept = 0, []
@@ -212,7 +212,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int
                 kept.append(data[at:a])
                 at = b
             left = b"".join([*kept, data[at:]])
-            row = [doc, len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest()]
+            row = [doc if named else None, len(data), len(data) - len(left), len(gone), hashlib.sha256(left).hexdigest()]
             rows.append(row + [left] if keep_text else row)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -220,7 +220,7 @@ def _kept_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, length: int
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """(doc, mark, first, last): windows first … last of a text start strings that also start elsewhere. ``texts`` has doc, mark and text."""
-    parse = texts.mapInArrow(lambda b: _phrase_rows(b, length, trigger), ROW)
+    parse = texts.select("doc", "mark", "text").mapInArrow(lambda b: _phrase_rows(b, length, trigger), ROW)
     keys = parse.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).filter("n > 1")
     met = materialise(parse.join(keys.select("key", (F.col("low") == F.col("high")).alias("alike")), "key"), "phrases")
 
@@ -231,7 +231,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     dictionary = materialise(dictionary.select("key", "phrase", "copies", "at.*"), "dictionary")
     copied = met.join(dictionary.filter("copies > 1").select("key", "phrase"), ["key", "phrase"], "left_semi")
 
-    form = "doc long, mark int, first int, last int, core long, whole long, copies long"
+    form = "doc long, mark long, first int, last int, core long, whole long, copies long"
     blocks = _with_text(texts, _packed(dictionary, ("first", "last", "ahead", "key", "copies")), "inner").mapInArrow(lambda b: _block_rows(b, length), form)
     blocks = materialise(blocks, "blocks")
     cores = blocks.groupBy("core").agg(F.sum("copies").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
@@ -242,7 +242,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
     wholes = materialise(wholes.select("core", "whole", "copies", "at.*"), "wholes")
     settled = unsettled.filter("copies = 1").join(wholes.filter("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
 
-    form = "doc long, mark int, first int, core long, window long, copies long"
+    form = "doc long, mark long, first int, core long, window long, copies long"
     windows = _with_text(texts, _packed(wholes, ("first", "last", "core", "copies")), "inner").mapInArrow(lambda b: _window_rows(b, length), form)
     windows = materialise(windows, "windows")
     twice = windows.groupBy("core", "window").agg(F.sum("copies").alias("all")).filter("all > 1").select("core", "window")
@@ -255,7 +255,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGE
 
 def _packed(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     listed = rows.groupBy("doc", "mark").agg(F.collect_list(F.struct(*columns)).alias("parts"))
-    return listed.mapInArrow(lambda b: _packed_rows(b, columns), "doc long, mark int, parts binary")
+    return listed.mapInArrow(lambda b: _packed_rows(b, columns), "doc long, mark long, parts binary")
 
 
 def _with_text(texts: DataFrame, parts: DataFrame, how: str) -> DataFrame:
@@ -264,8 +264,8 @@ def _with_text(texts: DataFrame, parts: DataFrame, how: str) -> DataFrame:
     size, = parts.agg(F.coalesce(F.sum(F.octet_length("parts") + 64), F.lit(0))).first()
     if size <= BROADCAST_BYTES:
         parts = F.broadcast(parts)
-    joined = texts.join(parts, texts["doc"].eqNullSafe(parts["_doc_"]) & (texts["mark"] == parts["_mark_"]), how)
-    return joined.select("doc", "mark", "text", "parts")
+    joined = texts.join(parts, (texts["doc"] == parts["_doc_"]) & (texts["mark"] == parts["_mark_"]), how)
+    return joined.select(*texts.columns, "parts")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -273,9 +273,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     from pyspark.sql.pandas.types import to_arrow_schema
 
     whole = text_of(text)
-    texts = df.select(F.col(key).cast("long").alias("doc"), F.hash(whole).alias("mark"), whole.alias("text"))
+    number = F.col(key).cast("long")
+    # a row is told by its key and a digest of its text; a second digest stands in for a null key
+    texts = df.select(F.coalesce(number, F.xxhash64(F.lit("null key"), whole)).alias("doc"), F.xxhash64(whole).alias("mark"), whole.alias("text"), number.isNotNull().alias("named"))
     spans = repeated_spans(texts, length, length // 2)
-    gone = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("parts")).mapInArrow(_run_rows, "doc long, mark int, parts binary")
+    gone = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("parts")).mapInArrow(_run_rows, "doc long, mark long, parts binary")
     fields = [
         T.StructField(key, T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType()),

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plurifit.llm import byte_bpe, contamination, html_text, jaccard, pieces, pii, quality, repeats, secrets, toxicity
@@ -136,6 +137,16 @@ def test_repeated_strings(spark, table):
     assert repeats.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_repeats_of_rows_with_null_or_equal_keys(spark):
+    """Texts whose 32-bit hashes collide do not get each other's spans."""
+    made = spark.range(200_000).select(F.concat(*[F.sha2(F.concat_ws("/", "id", F.lit(k)), 256) for k in range(4)]).alias("text"))
+    pair = made.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a < b").first()
+    for key in (None, 5):
+        found = repeats.remove_repeats(spark.createDataFrame([(key, pair.a), (key, pair.b), (7, pair.a)], "doc_id long, text string"))
+        got = sorted((r.doc_id or 0, r.n_removed, r.kept_sha256 == hashlib.sha256(pair.b.encode()).hexdigest()) for r in found.collect())
+        assert got == [(key or 0, 0, True), (key or 0, 256, False), (7, 256, False)]
+
+
 PAGE = (
     '<html><head><title>t</title><script>var a="<p>no</p>"</script></head><body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav><div class="ad">Buy this now</div>'
     "<article><h1>Head &amp; line</h1><p>First   paragraph<br>goes on, with words, and it ends here.<p>Second &eacute; one is here too, it has some more words in it.</article>"
