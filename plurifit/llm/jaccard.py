@@ -41,7 +41,7 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-COUNTED_TOGETHER = 4_000_000
+COUNTED_TOGETHER = 1_000_000
 WIDESPREAD_IN_TASK = 3
 WIDESPREAD_TOKENS = 200_000
 PORTION = 128
@@ -53,6 +53,7 @@ SIEVE_BITS = 22
 BROADCAST_KEYS = 500_000
 ORDERS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 _memo = WordHashes()
+_memo.limit = 150_000
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
