@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import pinned, pinned_table
 from ..session import materialise
+from . import score_kernels
 
 ROOT = "root"
 GAIN_DIGITS = 10
@@ -258,11 +259,35 @@ def leaf_scores(nodes: DataFrame, by: Sequence[str], params: Sequence[Mapping],
     )
 
 
+def packed(nodes: DataFrame) -> dict | None:
+    """One tree as arrays, for ``score_kernels``; ``None`` beyond ``ACTIVE_NODES`` nodes, which are counted first."""
+    _, table = pinned_table(nodes.select("node", "depth", "bit", "n", "n1"), ACTIVE_NODES)
+    return None if table is None else score_kernels.tree_model([score_kernels.pack_nodes(table)], "mean")
+
+
+def scored_by(rows: DataFrame, models: Sequence[Mapping]) -> DataFrame:
+    """Adds ``_scores``, an array of ``(score, prediction)`` of packed models in their order, in one pass and without a join."""
+    sent = rows.sparkSession.sparkContext.broadcast(list(models))  # fitted models, which the driver holds anyway
+    return rows.withColumn("_scores", F.arrow_udf(score_kernels.scorer(sent), score_kernels.SCORED)("bits"))
+
+
 def predict(rows: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``score`` and ``prediction`` from one tree per group.
+    """Adds ``score`` and ``prediction`` from one tree, or from one tree per group.
+
+    A single tree is walked inside the row; its plan does not grow with its depth.
+    Trees of groups, and a tree of more than ``ACTIVE_NODES`` nodes, are walked by joins.
+    """
+    tree = None if by else packed(nodes)
+    if tree is None:
+        return predict_by_level(rows, nodes, by)
+    one = F.get("_scores", F.lit(0))
+    return scored_by(rows, [tree]).withColumns({"score": one["score"], "prediction": one["prediction"]}).drop("_scores")
+
+
+def predict_by_level(rows: DataFrame, nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Like ``predict``, one join per level.
 
-    Rows walk down one level per join; the tables joined are single levels of the
-    trees and are broadcast only when counted small.
+    The tables joined are single levels of the trees and are broadcast only when counted small.
     """
     by = list(by)
     deepest = nodes.agg(F.max("depth")).first()[0] or 0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fingerprint import WIDTHS, fingerprint
 from ..operators.prepare import resolve, usable_requests
+from ..operators.trees import scored_by
 from ..sources.registry import load_model
 
 
@@ -43,8 +44,10 @@ def score_long(features: Mapping[str, DataFrame], rows) -> DataFrame | None:
 def score_wide(compounds: DataFrame, request: DataFrame, registry: DataFrame, min_length: int = 30) -> DataFrame:
     """``(row_id, structure, one column per assay)`` for every item that could be encoded.
 
-    The models of a family are applied one after the other to the same rows, each
-    adding a column, so nothing is pivoted and only the families are joined.
+    The models of a family are packed into arrays and applied in one pass, so the
+    plan grows neither with their depth nor with their number; nothing is pivoted
+    and only the families are joined.  Models that cannot be packed (a tree too
+    large to send, an estimator of one's own) follow one after the other.
     """
     spark = compounds.sparkSession
     encoded = spark.createDataFrame([(f,) for f in WIDTHS], "fp string")
@@ -53,9 +56,15 @@ def score_wide(compounds: DataFrame, request: DataFrame, registry: DataFrame, mi
     for family in sorted({r["MF"] for r in rows}):
         frame = fingerprint(compounds, family, min_length).select("row_id", "bits")
         mine = [r for r in rows if r["MF"] == family]
-        for r in mine:
-            fitted = load_model(spark, r["kind"], r["path"], WIDTHS[family])
-            frame = fitted.score(frame).withColumnRenamed("prediction", r["assay_name"]).drop("score")
+        loaded = [(r["assay_name"], load_model(spark, r["kind"], r["path"], WIDTHS[family])) for r in mine]
+        forms = [(name, fitted, fitted.packed()) for name, fitted in loaded]
+        for name, fitted, form in forms:
+            if form is None:
+                frame = fitted.score(frame).withColumnRenamed("prediction", name).drop("score")
+        together = [(name, form) for name, _, form in forms if form is not None]
+        if together:
+            frame = scored_by(frame, [form for _, form in together])
+            frame = frame.withColumns({name: F.get("_scores", F.lit(i))["prediction"] for i, (name, _) in enumerate(together)}).drop("_scores")
         frame = frame.drop("bits")
         wide = frame if wide is None else wide.join(frame, "row_id", "full")
     if wide is None:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..operators.fingerprint import BASE, LAYER_PATH, MAX_PATH, PRIME, RADIUS, WIDTHS, WORD_BITS, default_keys, n_words
 from ..operators.grid import GRIDS
-from .queries import REPEATS, RUN_CLOCK
+from .queries import REPEATS, RUN_CLOCK, TREE
 
 
 def _key(text: str) -> str:
@@ -231,6 +231,22 @@ rows{i + 1} AS (SELECT r.assay, r.row_id, r.hit, r.b,
   FROM {src} r JOIN best{i} k USING (assay, node))"""
 
 
+def _final_tree(depth: int) -> list[str]:
+    """``tested``: the hold-out rows with the score of the leaf they reach in the tree of the training rows."""
+    walks = [f"""walk{i + 1} AS (SELECT w.assay, w.row_id, w.hit, w.b, CASE WHEN k.bit IS NULL THEN w.node
+  ELSE md5(w.node || '>' || k.bit || '>' || CASE WHEN list_contains(w.b, k.bit) THEN '1' ELSE '0' END) END AS node
+  FROM walk{i} w LEFT JOIN best{i} k USING (assay, node))""" for i in range(depth)]
+    every = " UNION ALL ".join(f"SELECT assay, node, n, n1 FROM nodes{i}" for i in range(depth + 1))
+    return [
+        DOCS, GOOD, HITS, BITS, ALIGNED, _holdout("x", "assay", "42"),
+        "rows0 AS (SELECT assay, row_id, hit, b, 'root' AS node FROM split WHERE split = 'train')", *[_level(i) for i in range(depth)],
+        f"nodes{depth} AS (SELECT assay, node, count(*) AS n, sum(hit)::BIGINT AS n1 FROM rows{depth} GROUP BY ALL)",
+        "walk0 AS (SELECT assay, row_id, hit, b, 'root' AS node FROM split WHERE split = 'test')", *walks, f"every AS ({every})",
+        f"""tested AS (SELECT assay, row_id, hit AS y, n1::DOUBLE / n::DOUBLE AS score, (2 * n1 > n)::INT AS prediction
+  FROM walk{depth} JOIN every USING (assay, node))""",
+    ]
+
+
 def _fp(name: str) -> tuple[list[str], str]:
     return {
         "MACCS": ([DOCS, GOOD, BITS], "SELECT row_id, b FROM bits"),
@@ -480,6 +496,12 @@ def sql() -> dict[str, str]:
     out["cl_pls_gram"] = _with(
         DOCS, GOOD, HITS, BITS, ALIGNED, "t AS (SELECT row_id, unnest(b) AS i FROM x WHERE assay = 'toxic')"
     ) + "SELECT a.i::INT AS i, c.i::INT AS j, count(*) AS n FROM t a JOIN t c ON a.row_id = c.row_id AND a.i <= c.i GROUP BY 1, 2"
+    final = _final_tree(TREE["max_depth"])
+    out["pred_class"] = _with(*final) + "SELECT assay, row_id, prediction FROM tested"
+    out["pred_probability"] = _with(*final) + "SELECT assay, row_id, round(score, 6) AS probability FROM tested"
+    out["fit_final_and_test"] = _with(*final, _confusion("tested", "assay"), _auc("tested", "assay")) + "SELECT assay, " + ", ".join(
+        f"round({e}, 6) AS {m}" for m, e in RATIOS.items()
+    ) + ", round(roc_auc, 6) AS roc_auc FROM conf JOIN auc USING (assay)"
     out["flagship"] = _with(
         DOCS, GOOD, HITS, BITS, ALIGNED, _holdout("x", "assay", "42"), "tr AS (SELECT * FROM split WHERE split = 'train')",
         _scan("assay", "tr", _gini),

@@ -699,7 +699,8 @@ def fit_final_and_test(spark, sf):
     for assay, train, test in _split_features(spark, sf):
         _, tested = campaign.fit_final(train, test, "dt", TREE, fingerprint.WIDTHS["MACCS"])
         out.append((assay, *(tested[m] for m in metrics.METRICS)))
-    return spark.createDataFrame(out, "assay string, " + ", ".join(f"{m} double" for m in metrics.METRICS))
+    made = spark.createDataFrame(out, "assay string, " + ", ".join(f"{m} double" for m in metrics.METRICS))
+    return made.select("assay", *[six(m) for m in metrics.METRICS])
 
 
 def _fitted_scores(spark, sf):
