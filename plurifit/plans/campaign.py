@@ -17,7 +17,8 @@ from ..operators.prepare import align, gate, labelled, min_support
 from ..operators.sampling import stratified_folds, train_test_split
 from ..session import materialise
 from ..sources.registry import save_model
-from .estimators import TreeFit, fit
+from . import forest
+from .estimators import ForestFit, TreeFit, fit
 from .search import cross_validate, fold_parts
 
 RUN = ("assay", "fp")
@@ -54,7 +55,11 @@ def fit_final(
 
         keyed = train.select(F.lit(0).alias("all"), "row_id", "hit", "bits")
         train = balanced(keyed, ["all"], seed=seed, width=width).drop("all", "is_synthetic")
-    fitted = fit(train, model, params, width, seed)
+    if model == "rf" and forest.grows(params):
+        # the implementation that searched it
+        fitted = ForestFit(forest.fit_forest(train, params, width, seed), spark=train.sparkSession)
+    else:
+        fitted = fit(train, model, params, width, seed)
     return fitted, evaluate(fitted, test)
 
 

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.estimators import BoostFit, PlsFit, SparkFit, TreeFit
+from ..plans.estimators import BoostFit, ForestFit, PlsFit, SparkFit, TreeFit
 from ..schema import REGISTRY
 
 
@@ -38,6 +38,8 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
 def load_model(spark: SparkSession, kind: str, path: str, width: int):
     if kind == "tree":
         return TreeFit(spark.read.parquet(path))
+    if kind == "forest":
+        return ForestFit.load(spark, path)
     if kind == "boost":
         stored = json.loads(spark.read.parquet(path).first()["model"])
         return BoostFit(stored["base"], stored["bits"], stored["values"], width, spark=spark)

@@ -8,7 +8,7 @@ import pytest
 
 from plurifit.operators import trees
 from plurifit.operators.fingerprint import WIDTHS
-from plurifit.plans import estimators, scoring
+from plurifit.plans import campaign, estimators, forest, scoring
 from plurifit.session import scratch_path
 from plurifit.sources import registry
 
@@ -116,3 +116,28 @@ def test_packing_level_order():
 
     got = kernels.scorer(Sent)(pa.array([[1], [3], [1, 3]], pa.list_(pa.int32()))).to_pylist()
     assert [r[0]["score"] for r in got] == pytest.approx([1 / (1 + np.exp(-v)) for v in (5.0, 7.0, 9.0)])
+
+
+@pytest.mark.parametrize("rows_per_task", [40, 16_384])
+def test_refitted_forest_is_the_searched_one(spark, rows, monkeypatch, rows_per_task):
+    monkeypatch.setattr(forest, "ROWS_PER_TASK", rows_per_task)
+    monkeypatch.setattr(forest, "TREES_AT_ONCE", 4)
+    params = {"n_estimators": 6, "max_features": "sqrt", "min_samples_split": 8, "min_samples_leaf": 2}
+    parts = rows.selectExpr("'a' AS assay", "row_id", "hit", "bits", "row_id % 3 > 0 AS train")
+    searched = forest.forest_scores(parts, ["assay"], [params], WIDTH, True, 42)
+    expected = {r.row_id: r.score for r in searched.collect()}
+    fitted, tested = campaign.fit_final(rows.filter("row_id % 3 > 0"), rows.filter("row_id % 3 = 0"), "rf", params, WIDTH)
+    assert fitted.kind == "forest" and tested["accuracy"] > 0.5
+    assert {r.row_id: r.score for r in fitted.score(rows).collect()} == expected
+    root = scratch_path(spark, "models")
+    registry.save_model(spark, fitted, root, "a", "MACCS", "rf")
+    entry = registry.registry(spark, root).first()
+    again = registry.load_model(spark, entry.kind, entry.path, WIDTH)
+    assert {r.row_id: r.score for r in again.score(rows).collect()} == expected
+
+
+def test_a_forest_that_draws_no_row_scores_zero(spark):
+    none = spark.createDataFrame([], "row_id long, hit int, bits array<int>")
+    fitted, tested = campaign.fit_final(none, none, "rf", {"n_estimators": 2}, WIDTH)
+    one = spark.createDataFrame([(1, [3])], "row_id long, bits array<int>")
+    assert [r.score for r in fitted.score(one).collect()] == [0.0]
