@@ -9,13 +9,15 @@ Labelled pages are composed by the templates below from paragraphs of a bounded
 the page key), so no labels are needed and the vocabulary is that of the corpus. Extraction reads every whole page.
 
 Null or empty html gives an empty text. Null keys and addresses are kept, repeated rows give repeated results, an empty table gives an empty result.
-Broken markup is read as far as it goes: open elements end with the page, and end tags without a start are skipped.
+Broken markup is read as far as it goes: open elements end with the page, end tags without a start are skipped, and "<" that begins no
+whole tag is text. Reading takes time in proportion to the length of a page, very long and hostile ones included.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +52,59 @@ TOKEN_GROUPS = (
 )
 _TAG_OF = {t: i for i, group in enumerate(TAG_GROUPS) for t in group.split()}
 _TOKEN_OF = {t: i for i, group in enumerate(TOKEN_GROUPS) for t in group.split()}
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Comments, declarations, and tags without "<" in their attributes; these fail at the next "<", so no character is tried for two tags.
+_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/<>]*+)(?!<)((?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*+)>", re.S)
+_START = re.compile(r"<(/?)(?=[A-Za-z])")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class _OtherTags:
+    """Tags that hold "<" in their name or attributes, and "<" that begins no tag.
+
+    Places of quotes and ends are listed once. Two readings that stand outside quotes at the same place go on alike, so places from which
+    no end was found are kept, and hostile pages take time in proportion to their length (times a logarithm).
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.name_ends = [m.start() for m in re.finditer(r"[\s/>]", source)]
+        self.marks = [m.start() for m in re.finditer("[\"'>]", source)]
+        self.quotes = {q: [i for i in self.marks if source[i] == q] for q in "\"'"}
+        self.endless: set[int] = set()
+
+    def at(self, place: int):
+        """(end, "/" of an end tag, name, attributes), or ``None`` where no tag begins or none ends."""
+        m = _START.match(self.source, place)
+        if m is None:
+            return None
+        first = bisect_left(self.name_ends, m.end())
+        if first == len(self.name_ends):
+            return None
+        begin = self.name_ends[first]
+        end = self._end(begin)
+        return None if end < 0 else (end + 1, m[1], self.source[m.end() : begin], self.source[begin:end])
+
+    def _end(self, at: int) -> int:
+        passed = []
+        while True:
+            i = bisect_left(self.marks, at)
+            if i == len(self.marks) or self.marks[i] in self.endless:
+                break
+            mark = self.marks[i]
+            if self.source[mark] == ">":
+                return mark
+            passed.append(mark)
+            partners = self.quotes[self.source[mark]]
+            j = bisect_right(partners, mark)
+            if j == len(partners):
+                break
+            at = partners[j] + 1
+        self.endless.update(passed)
+        return -1
+
+
 class Page:
     """Elements in page order, and the text pieces between them."""
 
@@ -88,53 +137,64 @@ class Page:
             self.pieces.append((at, self._block, html.unescape(value) if "&" in value else value))
 
     def _read(self, source: str) -> None:
-        stack, at, n = [0], 0, len(source)
-        while at < n:
-            m = _MARKUP.search(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
+        stack, at, begin, n = [0], 0, 0, len(source)
+        where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+        other = None
+
+        def top(names) -> int:
+            return max((where[name][-1] for name in names if where.get(name)), default=0)
+
+        def cut(place: int) -> None:
+            for element in stack[place:]:
+                where[self.tag[element]].pop()
+            del stack[place:]
+
+        while True:
+            at = source.find("<", at)
+            if at < 0:
+                self._text(stack[-1], source[begin:])
                 break
-            self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            m = _MARKUP.match(source, at)
+            if m is not None:
+                end, closing, name, attributes = m.end(), m[1], m[2], m[3]
+            else:
+                other = other or _OtherTags(source)
+                found = other.at(at)
+                if found is None:  # not markup, so text
+                    at += 1
+                    continue
+                end, closing, name, attributes = found
+            self._text(stack[-1], source[begin:at])
+            at = begin = end
+            if name is None:
                 continue
-            name = m[2].lower()
-            if m[1]:
+            name = name.lower()
+            if closing:
                 if name in BLOCK:
                     self._block += 1
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        del stack[i:]
-                        break
+                if where.get(name):
+                    cut(where[name][-1])
                 continue
             if name == "html":
                 continue
             if name in BLOCK:
                 self._block += 1
-                for i in range(len(stack) - 1, 0, -1):
-                    inside = self.tag[stack[i]]
-                    if inside == "p":
-                        del stack[i:]
-                        break
-                    if inside in BLOCK:
-                        break
+                if where.get("p"):  # no block is ever open inside a paragraph
+                    cut(where["p"][-1])
             if name in CLOSES:
                 ends, bounds = CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    inside = self.tag[stack[i]]
-                    if inside in ends.split():
-                        del stack[i:]
-                        break
-                    if inside in bounds:
-                        break
+                place = top(ends.split())
+                if place > top(bounds):
+                    cut(place)
             if name == "br":
                 self._text(stack[-1], " ")
                 continue
-            element = self._open(name, m[3], stack[-1])
+            element = self._open(name, attributes, stack[-1])
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-            elif name not in VOID and not m[3].endswith("/"):
+                at = begin = end.end() if end else n
+            elif name not in VOID and not attributes.endswith("/"):
+                where.setdefault(name, []).append(len(stack))
                 stack.append(element)
 
     def features(self) -> np.ndarray:
@@ -209,8 +269,8 @@ ARTICLES = ("<article data-y=1>{}</article>", "<main data-y=1><div data-y=1 clas
 ABOVE = ("<nav><ul>{links}</ul></nav>", '<header><div class="logo"><a href="/">{word}</a></div><nav>{links}</nav></header>', '<div class="menu"><ul>{links}</ul></div>', '<div id="header"><h2>{word}</h2></div><ul class="breadcrumb">{links}</ul>', '<div class="cookie-notice"><p>{short}</p><button>{word}</button></div><nav>{links}</nav>')
 ASIDE = ('<div class="ad">{short}</div>', '<aside class="sidebar"><h3>{word}</h3><ul>{links}</ul></aside>', '<div class="widget related"><p>{short}</p><ul>{links}</ul></div>', '<div class="sponsored"><p>{short}</p></div>', '<aside><p>{long}</p></aside>', '<div class="newsletter"><p>{short}</p><form><input name=q></form></div>')
 BELOW = ('<section class="comments"><h3>{word}</h3><div class="comment"><p>{long}</p></div><div class="comment"><p>{short}</p></div></section>', '<div id="comments"><ul><li><p>{short}</p></li><li><p>{long}</p></li></ul></div>', "")
-FEET = ("<footer>&copy; {word} &middot; {short}</footer>", '<div class="footer"><ul>{links}</ul><p>{short}</p></div>', '<div id="copyright"><p>{short}</p></div>')
-BODIES = ("<p data-y=1>{}</p>", "<p data-y=1><b data-y=1>{}</b></p>", "<h2 data-y=1>{}</h2>", "<ul data-y=1><li data-y=1>{}</li></ul>", "<blockquote data-y=1><p data-y=1>{}</p></blockquote>", "<pre data-y=1>{}</pre>")
+FEET = ("<footer>&copy; {word} &middot; {short}</footer>", "<footer>&copy; {word} &middot; {long}</footer>", '<div class="footer"><ul>{links}</ul><p>{short}</p></div>', '<div id="copyright"><p>{short}</p></div>')
+BODIES = ("<p data-y=1>{}</p>", "<p data-y=1><b data-y=1>{}</b></p>", "<h2 data-y=1>{}</h2>", "<ul data-y=1><li data-y=1>{}</li></ul>", "<blockquote data-y=1><p data-y=1>{}</p></blockquote>", "<pre data-y=1>{}</pre>", "<p data-y=1><b data-y=1>{}<br>", "<p data-y=1>{}")
 
 
 def compose(paragraphs: list[str], turn: int) -> str:
@@ -227,7 +287,11 @@ def compose(paragraphs: list[str], turn: int) -> str:
         return part.replace("{links}", links).replace("{word}", words[0]).replace("{short}", " ".join(words[:8])).replace("{long}", pick(escaped))
 
     inner = [f"<h1 data-y=1>{' '.join(pick(escaped).split(' ')[:8])}</h1>"] if rng.random() < 0.8 else []
-    for p in escaped:
+    if rng.random() < 0.3:  # a line under the heading, in letters of its own
+        line = " ".join(pick(escaped).split(" ")[: int(rng.integers(1, 9))])
+        inner.append(BODIES[int(rng.integers(len(BODIES)))].replace("{}", line))
+    # many real articles are short: a heading alone, or one to three paragraphs
+    for p in escaped if rng.random() < 0.55 else escaped[: int(rng.integers(0, 4))]:
         body = BODIES[0] if rng.random() < 0.75 else pick(BODIES)
         inner.append(body.replace("{}", p if rng.random() < 0.8 else " ".join(p.split(" ")[: int(rng.integers(1, 12))])))
         if rng.random() < 0.1:
@@ -241,7 +305,7 @@ def compose(paragraphs: list[str], turn: int) -> str:
 PLAIN = ("A few plain words make the first paragraph of this page, and they end here.", "The second one is a little longer, with a comma, a full stop and some more words after it. It has two sentences.", "Short one.", "Another paragraph of ordinary length follows so that pages differ in what they hold, as real ones do.")
 
 
-def labelled_nodes(texts: list[str], least: int = 240) -> tuple[np.ndarray, np.ndarray]:
+def labelled_nodes(texts: list[str], least: int = 480) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the elements of composed pages, ``least`` or more in all."""
     xs, ys, variants = [], [], -(-least // max(len(texts), 1))
     for n, source in enumerate(texts):
