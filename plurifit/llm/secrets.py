@@ -16,6 +16,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,7 +173,7 @@ def ordinary_parts(text: Column) -> Column:
 
 
 def null_runs(texts: DataFrame) -> DataFrame:
-    """(class, deviate) of every consecutive stretch of each class in the ``parts`` of every distinct text.
+    """(class, run): every consecutive stretch of each class in the ``parts`` of every distinct text.
 
     ``texts`` has (digest, place, parts); of rows of one digest the one with the least place counts.
     """
@@ -182,17 +184,90 @@ def null_runs(texts: DataFrame) -> DataFrame:
         cut = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit(f".{{{n}}}"), F.lit(0))))
         return F.transform(cut, lambda run: F.struct(F.lit(n).alias("class"), run.alias("run")))
 
-    runs = once.select(F.explode(F.concat(*map(stretches, LENGTHS))).alias("r")).select("r.class", "r.run")
-    # never null: a stretch has 20 symbols or more (a filter would make Spark compute every deviate twice)
-    return runs.select("class", deviate(F.col("run")).alias("deviate"))
+    return once.select(F.explode(F.concat(*map(stretches, LENGTHS))).alias("r")).select("r.class", "r.run")
+
+
+def _tenths(value: Column) -> Column:
+    return F.least(F.round(value * 10), F.lit(float(MOST_DEVIATE))).cast("int")
+
+
+def lopsided(run: Column) -> Column:
+    """What the share of symbols above the middle of the alphabet adds to the deviate of a stretch: never more than the whole deviate."""
+    lower = {10: ALPHABET[:5], 16: ALPHABET[:8], 32: BASE32[:16], 62: ALPHABET[:31], 64: ALPHABET[:32]}
+    size = encoding_size(run)
+    ups = F.length(F.translate(run, lower[64], ""))
+    for n in (10, 16, 32, 62):
+        ups = F.when(size == n, F.length(F.translate(run, lower[n], ""))).otherwise(ups)
+    n = F.length(run).cast("double")
+    return _tenths(F.abs(ups * 2.0 - n) / F.sqrt(n))
+
+
+def uneven(run: Column) -> Column:
+    """What the chi-squared test adds to the deviate of a stretch."""
+    letters = F.split(run, "")
+    n = F.length(run).cast("double")
+
+    def squares(v: Column) -> Column:
+        return F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow((F.size(v) - F.size(F.array_remove(v, c))).cast("double"), F.lit(2.0)))
+
+    size = encoding_size(run)
+    return _tenths(_normal_of_chi(_let(letters, squares) * size / n - n, size - 1.0))
+
+
+def null_counts(stretches: DataFrame, candidates: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
+    """(class, deviate, nulls) from all stretches (class, run), exact wherever it decides on a candidate; no rows for classes without one.
+
+    A p-value above ``rate`` is never a discovery, whatever its size, so the null is counted exactly only up to a deviate per class at
+    which the share of the null passes ``rate`` (or up to the largest deviate of a candidate). The deviate is the worst of several parts,
+    so stretches with one part beyond that limit are beyond it, and the costly parts are computed for the others alone. The limit is guessed
+    from the counts of the cheapest part and raised until it holds; all other stretches are counted one above it.
+    """
+    spark, schema = stretches.sparkSession, "class int, deviate int, nulls long"
+    most = {r["class"]: r["most"] for r in candidates.groupBy("class").agg(F.max("deviate").alias("most")).collect()}  # at most one row for each class
+    if not most:
+        return spark.createDataFrame([], schema)
+    runs = stretches.filter(F.col("class").isin(sorted(most)))
+    cheap: dict[int, dict[int, int]] = {c: {} for c in most}
+    for r in runs.groupBy("class", lopsided(F.col("run")).alias("least")).count().collect():  # at most MOST_DEVIATE + 1 for each class
+        cheap[r["class"]][r["least"]] = r["count"]
+    total = {c: sum(counts.values()) for c, counts in cheap.items()}
+
+    def limit_at(c: int, share: float) -> int:
+        seen = 0
+        for d in range(most[c]):
+            seen += cheap[c].get(d, 0)
+            if seen >= share * total[c] and seen:
+                return d
+        return most[c]
+
+    share, open_ = 6 * rate, {c for c in most if total[c]}
+    out = [(c, most[c] + 1, 0) for c in most if not total[c]]
+    while open_:
+        limit = {c: limit_at(c, share) for c in open_}
+        at_most = F.coalesce(*[F.when(F.col("class") == c, d) for c, d in limit.items()])
+        near = runs.filter(F.col("class").isin(sorted(open_))).filter(lopsided(F.col("run")) <= at_most).filter(uneven(F.col("run")) <= at_most)
+        counted: dict[int, dict[int, int]] = {c: {} for c in open_}
+        for r in near.select("class", deviate(F.col("run")).alias("deviate")).groupBy("class", "deviate").count().collect():  # as above
+            if r["deviate"] <= limit[r["class"]]:
+                counted[r["class"]][r["deviate"]] = r["count"]
+        for c in sorted(open_):
+            inside = sum(counted[c].values())
+            if limit[c] >= most[c] or (inside + 1) / (total[c] + 1) > rate:
+                out += [(c, d, n) for d, n in counted[c].items()] + [(c, limit[c] + 1, total[c] - inside)]
+                open_.discard(c)
+        share *= 2
+    return spark.createDataFrame(out, schema)
 
 
 def discoveries(null: DataFrame, found: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     """(class, most): candidates of a class with a deviate of at most ``most`` are discoveries.
 
+    ``null`` holds the stretches (class, run), or their deviates (class, deviate).
+
     Works on counts per class and deviate only, so its windows see a bounded number of rows.
     """
-    counts = null.groupBy("class", "deviate").agg(F.count(F.lit(1)).alias("nulls")).withColumn("hits", F.lit(0).cast("long")).unionByName(
+    null = null_counts(null, found, rate) if "run" in null.columns else null.withColumn("nulls", F.lit(1))
+    counts = null.groupBy("class", "deviate").agg(F.sum("nulls").alias("nulls")).withColumn("hits", F.lit(0).cast("long")).unionByName(
         found.groupBy("class", "deviate").agg(F.count(F.lit(1)).alias("hits")).withColumn("nulls", F.lit(0).cast("long"))
     ).groupBy("class", "deviate").agg(F.sum("nulls").alias("nulls"), F.sum("hits").alias("hits"))
     by_class = Window.partitionBy("class")
