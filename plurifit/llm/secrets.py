@@ -93,12 +93,16 @@ def _normal_of_chi(chi: Column, freedom: Column) -> Column:
     return (F.pow(chi / freedom, F.lit(1.0 / 3.0)) - (1.0 - share)) / F.sqrt(share)
 
 
+def encoding_kinds(bare: Column) -> dict[int, Column]:
+    """Size of an encoding → whether it holds the run, smallest first."""
+    patterns = {10: "^[0-9]*$", 16: "^([0-9a-f]*|[0-9A-F]*)$", 32: "^[A-Z2-7]*$", 62: "^[A-Za-z0-9]*$"}
+    return {size: bare.rlike(pattern) for size, pattern in patterns.items()}
+
+
 def encoding_size(bare: Column) -> Column:
     """Symbols of the smallest encoding that holds the run."""
-    return (
-        F.when(bare.rlike("^[0-9]*$"), 10).when(bare.rlike("^([0-9a-f]*|[0-9A-F]*)$"), 16)
-        .when(bare.rlike("^[A-Z2-7]*$"), 32).when(bare.rlike("^[A-Za-z0-9]*$"), 62).otherwise(64)
-    )
+    kinds = encoding_kinds(bare)
+    return F.when(kinds[10], 10).when(kinds[16], 16).when(kinds[32], 32).when(kinds[62], 62).otherwise(64)
 
 
 def _codes(bare: Column, size: Column) -> Column:
@@ -193,13 +197,14 @@ def _tenths(value: Column) -> Column:
 
 def lopsided(run: Column) -> Column:
     """What the share of symbols above the middle of the alphabet adds to the deviate of a stretch: never more than the whole deviate."""
-    lower = {10: ALPHABET[:5], 16: ALPHABET[:8], 32: BASE32[:16], 62: ALPHABET[:31], 64: ALPHABET[:32]}
-    size = encoding_size(run)
-    ups = F.length(F.translate(run, lower[64], ""))
-    for n in (10, 16, 32, 62):
-        ups = F.when(size == n, F.length(F.translate(run, lower[n], ""))).otherwise(ups)
+    kinds = encoding_kinds(run)
+
+    def ups(low: str) -> Column:
+        return F.length(F.translate(run, low, ""))
+
+    count = F.when(kinds[10], ups(ALPHABET[:5])).when(kinds[16], ups(ALPHABET[:8])).when(kinds[32], ups(BASE32[:16])).when(kinds[62], ups(ALPHABET[:31]))
     n = F.length(run).cast("double")
-    return _tenths(F.abs(ups * 2.0 - n) / F.sqrt(n))
+    return _tenths(F.abs(count.otherwise(ups(ALPHABET[:32])) * 2.0 - n) / F.sqrt(n))
 
 
 def uneven(run: Column) -> Column:
@@ -210,8 +215,8 @@ def uneven(run: Column) -> Column:
     def squares(v: Column) -> Column:
         return F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow((F.size(v) - F.size(F.array_remove(v, c))).cast("double"), F.lit(2.0)))
 
-    size = encoding_size(run)
-    return _tenths(_normal_of_chi(_let(letters, squares) * size / n - n, size - 1.0))
+    # bound first: a filter would work out the encoding anew at every mention
+    return _let(encoding_size(run), lambda size: _tenths(_normal_of_chi(_let(letters, squares) * size / n - n, size - 1.0)))
 
 
 def null_counts(stretches: DataFrame, candidates: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
