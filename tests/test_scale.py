@@ -1,11 +1,13 @@
 """Work that has to stay bounded on large tables, held against the way it takes on small ones."""
 
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plurifit.operators import trees
+from plurifit.operators import fingerprint, fingerprint_kernels, trees
 
 WIDTH = 14
 
@@ -48,3 +50,57 @@ def test_nodes_that_fit_a_task_need_no_job_per_level(folds, monkeypatch):
     monkeypatch.setattr(trees, "_level", refused)
     assert max(r["depth"] for r in nodes_of(trees.grow(folds, ["assay"], RULES))) > 5
     assert nodes_of(trees.grow(folds.limit(0), ["assay"], RULES)) == []
+
+
+TEXTS = [
+    "one two  three four five six seven eight", " lead and trail ", "İstanbul ΣΑΣ straße 😀 beyond 𝔘 the plane", "a\tb\nc d", "x" * 40, "y",
+    "word " * 50, "ends with spaces   ",
+]
+
+
+def plain_bits(family: str, text: str, lower: str) -> list[int]:
+    def hashed(token):
+        return int(hashlib.md5(token.encode()).hexdigest()[:15], 16) % fingerprint.PRIME
+
+    def runs(values, n):
+        out = []
+        for i in range(len(values) - n + 1):
+            h = values[i]
+            for v in values[i + 1 : i + n]:
+                h = (h * fingerprint.BASE + v) % fingerprint.PRIME
+            out.append(h)
+        return out
+
+    width, words = fingerprint.WIDTHS[family], text.split(" ")
+    tokens = [hashed(t) for t in words]
+    if family == "RDKit":
+        found = [(h, n) for n in range(1, 8) for h in runs(tokens, n)]
+    elif family == "Pattern":
+        found = [(h, 3) for h in runs([ord(c) for c in text], 3)]
+    elif family == "Layered":
+        layers = tokens, [hashed(t) for t in lower.split(" ")], [min(len(t), 12) for t in words]
+        found = [(h, layer * 100 + n) for layer, values in enumerate(layers, 1) for n in (1, 2, 3) for h in runs(values, n)]
+    else:
+        found = [(h, r) for r in range(3) for h in runs(tokens, 2 * r + 1)]
+        for r, n in ((1, 2), (2, 3), (2, 4)):
+            longest = runs(tokens, min(n, len(tokens)))
+            found += [(longest[0], r), (longest[-1], r)]
+    return sorted({(h + tag * fingerprint.BASE) % width for h, tag in found})
+
+
+@pytest.mark.parametrize("rows, known", [(1000, 200_000), (2, 3)])
+def test_batches_of_texts_give_the_bits_of_each(monkeypatch, rows, known):
+    monkeypatch.setattr(fingerprint_kernels, "TEXT_ROWS", rows)
+    monkeypatch.setattr(fingerprint_kernels, "KNOWN_TOKENS", known)
+    families = ["Morgan", "RDKit", "Layered", "Pattern"]
+    lower = [t.lower() for t in TEXTS]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS))), pa.array(TEXTS), pa.array(lower)], names=["row_id", "structure", "lower"])
+    work = fingerprint_kernels.encoder(families, fingerprint.WIDTHS, fingerprint.BASE, fingerprint.PRIME, 7, 3, 2, 12)
+    got = {(r["row_id"], r["fp"]): r["bits"] for b in work([batch, batch.slice(0, 0)]) for r in b.to_pylist()}
+    assert got == {(i, f): plain_bits(f, t, low) for i, (t, low) in enumerate(zip(TEXTS, lower)) for f in families}
+
+
+def test_hashed_families_leave_the_row_interpreter(spark):
+    frame = fingerprint.fingerprints(spark.createDataFrame([(1, "some words " * 9)], "row_id long, structure string"))
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in text and text.count("MapInArrow") == 1
