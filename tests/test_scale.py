@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plurifit.operators import fingerprint, fingerprint_kernels, trees
+from plurifit.operators import fingerprint, fingerprint_kernels, metrics, trees
+from plurifit.plans import joint, search
 
 WIDTH = 14
 
@@ -103,4 +104,45 @@ def test_batches_of_texts_give_the_bits_of_each(monkeypatch, rows, known):
 def test_hashed_families_leave_the_row_interpreter(spark):
     frame = fingerprint.fingerprints(spark.createDataFrame([(1, "some words " * 9)], "row_id long, structure string"))
     text = frame._jdf.queryExecution().executedPlan().toString()
-    assert "lambda" not in text and text.count("MapInArrow") == 1
+    assert "zip_with" not in text and "MapInArrow" in text
+
+
+@pytest.fixture(scope="module")
+def parts(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(700):
+        bits = sorted(rng.sample(range(WIDTH), rng.randint(1, 9)))
+        rows.append(("a", "MACCS", i, int((2 in bits) != (rng.random() < 0.25)), bits, i % 6 > 0, 0))
+    return spark.createDataFrame(rows, "assay string, fp string, row_id long, hit int, bits array<int>, train boolean, cv_fold int").cache()
+
+
+def test_shared_hessians_lead_to_the_same_weights(parts, monkeypatch):
+    params = [{"C": c, "penalty": p} for c in (0.1, 0.5, 1, 4, 100) for p in ("l1", "l2")]
+    by = ["assay", "fp", "cv_fold"]
+    monkeypatch.setattr(joint, "SETTLED", 1e-12)
+    own = joint.newton(joint.Blocks(parts, by, WIDTH, 1), params)[0]
+    monkeypatch.setattr(joint, "SETTLED", 1e-7)
+    monkeypatch.setattr(joint, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(joint, "SHARED_HESSIANS", 2)
+    asked, sums = [], joint.kernels.newton_sums
+    monkeypatch.setattr(joint.kernels, "newton_sums", lambda sent, width: asked.append({i: len(g) for i, g in sent.value.items()}) or sums(sent, width))
+    blocks = joint.Blocks(parts, by, WIDTH, 1)
+    assert not blocks.whole
+    assert joint.newton(blocks, params)[0] == pytest.approx(own, abs=1e-3)
+    assert max(n for step in asked for n in step.values()) == 2
+
+
+@pytest.mark.parametrize("rows", [joint.ROWS_PER_TASK, 200])
+def test_joint_pls_is_that_of_single_fits(parts, monkeypatch, rows):
+    monkeypatch.setattr(joint, "ROWS_PER_TASK", rows)
+    params, by = [{"n_components": n} for n in (1, 2)], ["assay", "fp"]
+    single = search.search_fits(parts, by, [{"assay": "a", "fp": "MACCS"}], "pls", params, k=1, width=WIDTH, with_train=True)
+
+    def refused(*_, **__):
+        raise AssertionError("candidates were fitted one by one")
+
+    monkeypatch.setattr(search, "search_fits", refused)
+    joined = search.cross_validate(None, by, [], "pls", params, 1, width=WIDTH, with_train=True, parts=parts)
+    columns = ["assay", "param_idx", "fold", "part", *metrics.METRICS]
+    assert sorted(joined.select(*columns).collect()) == sorted(single.select(*columns).collect())
