@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plurifit.operators import fingerprint, fingerprint_kernels, metrics, trees
+from plurifit.operators import fingerprint, fingerprint_kernels, joint_kernels, metrics, trees
 from plurifit.plans import joint, search
 
 WIDTH = 14
@@ -146,3 +147,33 @@ def test_joint_pls_is_that_of_single_fits(parts, monkeypatch, rows):
     joined = search.cross_validate(None, by, [], "pls", params, 1, width=WIDTH, with_train=True, parts=parts)
     columns = ["assay", "param_idx", "fold", "part", *metrics.METRICS]
     assert sorted(joined.select(*columns).collect()) == sorted(single.select(*columns).collect())
+
+
+@pytest.mark.parametrize("cells, masked", [(10**6, 8), (10**6, 1), (0, 8)])
+def test_rounds_over_distinct_bit_sets_are_those_over_rows(monkeypatch, cells, masked):
+    """Copies count as often as they come; dense products and counts by position choose the same trees."""
+    monkeypatch.setattr(joint_kernels, "DENSE_CELLS", cells)
+    monkeypatch.setattr(joint_kernels, "MASKED_NODES", masked)
+    rng = np.random.default_rng(5)
+    x = np.repeat((rng.random((60, WIDTH)) < 0.4).astype(np.uint8), rng.integers(1, 6, 60), axis=0)
+    hit, train = (rng.random(len(x)) < 0.3 + 0.5 * x[:, 3]).astype(np.uint8), (rng.random(len(x)) < 0.8)
+    block = {"n": len(x), "hit": hit.tobytes(), "train": train.astype(np.uint8).tobytes(), "bits": np.packbits(x, axis=1).tobytes(), "margins": np.full((len(x), 1), 0.2).tobytes()}
+    rules = [joint.rule_of("gbt", {"learning_rate": 0.3, "max_depth": 4}), joint.rule_of("xgb", {"max_depth": 3, "gamma": 0.0, "min_child_weight": 1})]
+    seen, sums = [], joint_kernels.dense_sums
+    monkeypatch.setattr(joint_kernels, "dense_sums", lambda a, *rest: seen.append(len(a)) or sums(a, *rest))
+    *_, (_, trees, _, _, margins, of) = joint_kernels._rounds(rules, WIDTH, 3, [0, 1], [block])
+    if cells:
+        assert set(seen) == {len(np.unique(x, axis=0))}
+    for i, rule in enumerate(rules):
+        margin = np.full(len(x), 0.2)
+        for _ in range(3):
+            bit, value = joint_kernels.no_trees(1, rule["depth"])
+            stats, ones = joint_kernels.statistics(hit[train], margin[train]), joint_kernels.ones_of(x[train])
+            for level in range(rule["depth"]):
+                node = joint_kernels.walk(x[train], bit, level)[:, 0] - 2**level + 1
+                found = joint_kernels.node_sums(ones, node, stats, 2**level, WIDTH)
+                nodes = np.flatnonzero(found[:, 0, WIDTH] > 0)
+                if not len(nodes) or not joint_kernels.extend(rule, bit[0], value[0], level, nodes, *joint_kernels.choose(rule, found[nodes])):
+                    break
+            margin = margin + value[0, joint_kernels.walk(x, bit, rule["depth"])[:, 0]]
+        assert np.array_equal(trees[i][0], bit[0]) and margins[of][:, i] == pytest.approx(margin, abs=1e-9)
