@@ -16,7 +16,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
@@ -34,7 +33,7 @@ from .common import WORDS, text_of, use_package
 CAPACITY = 2048
 CLASS = 4
 END_BYTES = np.array([1], "<u4").tobytes()
-MEMO_BYTES = 100_000_000
+MEMO_BYTES = 150_000_000
 WORDS_A_CALL = 1000
 # Texts of these letters mean the same in lower case to the tokenizer, which composes characters and lowers them one by one.
 _LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]*")
@@ -42,10 +41,11 @@ TOKENIZER = "word_bpe_49k.json"
 BATCH_CHARS = 500_000
 OFFSET_ROWS = 200_000
 STEADY = 0.7
+HOPE = 0.9e-9  # gain below which a pattern is not tried; a step asks for more
 GAP = 1.5e-3  # the program ends when its value is proven to be within this part of the best, or within half a sequence
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, task int, number long"
-CLOSING = ".,;:!?"  # marks that are cut off the end of a word by the tokenizer as well
+CLOSING = ".,;:!?#*$%&"  # marks that are cut off the end of a word by the tokenizer as well
 
 
 def _words(text: str) -> list[str]:
@@ -160,15 +160,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Best total price for every capacity when class ``w`` weighs ``w`` and may be taken any number of times, and the class taken last (0: none)."""
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    # values from the back, so that those of c - 1, ..., 0 lie in order
+    back, last, room, held = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.empty(capacity), 0.0
     for c in range(1, capacity + 1):
-        offers = value[c - 1 :: -1][:c] + price[1 : c + 1]
-        w = int(offers.argmax())
-        if offers[w] > value[c - 1]:
-            value[c], last[c] = offers[w], w + 1
-        else:
-            value[c] = value[c - 1]
-    return value, last
+        offers = np.add(back[capacity + 1 - c :], price[1 : c + 1], room[:c])
+        w = offers.argmax()
+        offer = offers.item(w)
+        if offer > held:
+            held, last[c] = offer, w + 1
+        back[capacity - c] = held
+    return back[::-1].copy(), last
 
 
 def _taken(value: np.ndarray, last: np.ndarray, capacity: int) -> list[int]:
@@ -182,6 +183,18 @@ def _taken(value: np.ndarray, last: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
+def _all_taken(last: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """How often each class (column) is taken for each capacity (row)."""
+    out, left, at = np.zeros((len(capacity), len(last)), np.int64), capacity.copy(), np.flatnonzero(capacity > 0)
+    while len(at):
+        w = last[left[at]]
+        out[at, w] += 1  # column 0: room that is left free
+        left[at] -= np.maximum(w, 1)
+        at = at[left[at] > 0]
+    out[:, 0] = 0
+    return out
+
+
 def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
     """Patterns and how often the linear program uses them: least number of sequences that hold ``demand[w]`` pieces of every class ``w``.
 
@@ -199,7 +212,7 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
     inverse = np.diag([1.0 / (capacity // w) for w in classes])
     cost, amount = np.ones(m), inverse @ want
 
-    dual = cost @ inverse
+    dual, room = cost @ inverse, np.empty((m, m))
 
     def step(pattern: dict[int, int], price: float, sign: float = 1.0) -> bool:
         nonlocal inverse, amount, dual
@@ -216,7 +229,7 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
             return False
         row = inverse[out] / way[out]
         left = amount[out] / way[out]
-        inverse -= np.outer(way, row)
+        np.subtract(inverse, np.multiply(way[:, None], row, room), inverse)
         inverse[out] = row
         amount = np.maximum(amount - way * left, 0.0)
         amount[out] = max(left, 0.0)
@@ -241,13 +254,21 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
             break
         gains = mixed + value[capacity - classes]
         moved, seen = False, set()
-        for i in np.argsort(-gains, kind="stable")[: max(8, m // 8)]:
-            w = int(classes[i])
-            taken = tuple(sorted([w, *_taken(value, last, capacity - w)]))
-            if taken in seen:
-                continue
-            seen.add(taken)
-            moved |= step(dict(Counter(taken)), 1.0)
+        chosen = np.argsort(-gains, kind="stable")[: max(8, m // 8)]
+        taken = _all_taken(last, capacity - classes[chosen])
+        taken[np.arange(len(chosen)), classes[chosen]] += 1
+        times, at = taken[:, classes].astype(np.float64), 0
+        while at < len(chosen):
+            # the next that may gain with the duals as they are; the step itself decides
+            hopeful = np.flatnonzero(1.0 - times[at:] @ dual <= -HOPE)
+            if not len(hopeful):
+                break
+            at += int(hopeful[0])
+            key = taken[at].tobytes()
+            if key not in seen:
+                seen.add(key)
+                moved |= step({int(w): int(taken[at, w]) for w in np.flatnonzero(taken[at])}, 1.0)
+            at += 1
         if not moved and part == 0.0:
             break
         part = STEADY if moved else 0.0

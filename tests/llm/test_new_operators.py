@@ -189,3 +189,29 @@ def test_queue_spills():
         queue.push(sent[-1])
     got = [(a, m) for a in sorted({a for a, _ in sent}) for m in queue.pop_at(a)]
     assert sorted(got) == sorted(sent) and not queue.heap and not queue.runs
+
+
+def test_packing_takes_patterns_of_all_capacities_at_once():
+    rng = np.random.default_rng(5)
+    price = np.where(rng.random(41) < 0.5, rng.integers(0, 9, 41) / 8.0, -1.0)
+    value, last = packing.knapsack(price, 40)
+    found = packing._all_taken(last, np.arange(41))
+    for capacity in range(41):
+        assert found[capacity].tolist() == np.bincount(packing._taken(value, last, capacity), minlength=41).tolist()
+
+
+def test_words_with_marks_are_learned_in_joint_calls():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    words = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    library, calls = words.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **how)
+
+    words.tokenizer = Counted()
+    texts = ["alpha### beta*** gamma%%% delta&&& epsilon$$$ été.### straße,*** 12### it's### <|a|>### a#b##", "alpha beta gamma#.#"]
+    found = [ids.tolist() for ids in words.of(texts)]
+    assert found == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert not any(w in calls for w in ("alpha###", "beta***", "alpha", "beta"))  # no call of their own
