@@ -351,3 +351,16 @@ def test_registered_searches_take_whole_grids_five_folds_both_assays(spark, monk
     monkeypatch.setattr(queries.search, "cross_validate", seen)
     with pytest.raises(Seen):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_forest_rows_with_the_same_bits_are_grown_once():
+    rng = np.random.default_rng(4)
+    few = (rng.random((40, WIDTH)) < 0.4).astype(np.uint8)
+    x, hit = few[rng.integers(0, 40, 500)], rng.integers(0, 2, 500)
+    weight, rule, start = rng.integers(1, 4, 500), {"features": 4, "leaf": 3, "need": 6}, int(forest_kernels.root(1, 7)[0])
+    distinct, which = forest_kernels.distinct_rows(x)
+    assert len(distinct) <= 40 and (distinct[which] == x).all()
+    packed = np.bincount(which, forest_kernels.packed_draws(hit, weight), len(distinct))
+    for one, other in zip(forest_kernels.grow(x, hit, weight, start, rule), forest_kernels.grow_packed(distinct, packed, start, rule)):
+        assert one.tolist() == other.tolist()
+    assert forest.ROWS_PER_TASK == 2**17  # sums of more rows would not be exact
