@@ -209,14 +209,17 @@ def lopsided(run: Column) -> Column:
 
 def uneven(run: Column) -> Column:
     """What the chi-squared test adds to the deviate of a stretch."""
-    letters = F.split(run, "")
-    n = F.length(run).cast("double")
+    n = F.length(run)
+
+    def square(c: Column) -> Column:
+        count = (n - F.length(F.replace(run, c, F.lit("")))).cast("double")
+        return F.pow(count, F.lit(2.0))
 
-    def squares(v: Column) -> Column:
-        return F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow((F.size(v) - F.size(F.array_remove(v, c))).cast("double"), F.lit(2.0)))
+    # symbols are counted in the string itself: an array would be copied for each of them
+    squares = F.aggregate(F.array_distinct(F.split(run, "")), F.lit(0.0), lambda s, c: s + square(c))
 
     # bound first: a filter would work out the encoding anew at every mention
-    return _let(encoding_size(run), lambda size: _tenths(_normal_of_chi(_let(letters, squares) * size / n - n, size - 1.0)))
+    return _let(encoding_size(run), lambda size: _tenths(_normal_of_chi(squares * size / n - n, size - 1.0)))
 
 
 def null_counts(stretches: DataFrame, candidates: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
