@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from plurifit.llm import byte_bpe, contamination, html_text, jaccard, pieces, pii, quality, repeats, secrets, toxicity
 from plurifit.llm.common import use_package
+from plurifit.session import shared_dir
 
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
@@ -367,3 +369,29 @@ def test_pipeline_steps(spark, table, labels, tmp_path):
     assert masked.columns == source.columns and "<email>" in masked.filter("doc_id = 13").first()["text"] and masked.filter("doc_id = 0").first()["text"] is None
     last = corpus_pipeline.run(spark, folder)
     assert 0 < last.count() < source.count() and {"doc_id", "n_tokens"} <= set(last.columns)
+
+
+def test_symbols_of_a_stretch_are_counted_without_copies_of_arrays(spark):
+    runs = ["aaaabbbbccccddddeeee", "0123456789abcdef0123", "ABCDEFGHIJKLMNOPQRST", "thequickbrownfoxjump", "aaaaaaaaaaaaaaaaaaaa", "Zz+/Zz+/Zz+/Zz+/09az", "00000000001111111111"]
+    column = secrets.uneven(F.col("run"))
+    assert "array_remove" not in str(column)
+    for row in spark.createDataFrame([(r,) for r in runs], "run string").select("run", column.alias("d")).collect():
+        run, n = row["run"], len(row["run"])
+        size = 10 if run.isdigit() else 16 if set(run) <= set("0123456789abcdef") else 32 if run.isupper() else 62 if run.isalnum() else 64
+        chi, share = sum(run.count(c) ** 2 for c in set(run)) * size / n - n, 2 / (9 * (size - 1))
+        assert row["d"] == min(round(((chi / (size - 1)) ** (1 / 3) - (1 - share)) / share**0.5 * 10), secrets.MOST_DEVIATE)
+
+
+def test_near_duplicates_leaves_neither_sets_nor_shuffles_behind(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") * 3 + str(rng.randrange(400)) for _ in range(120)] for _ in range(20)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(base)]
+    rows += [(100 + i, " ".join([*words[:60], "edited", *words[61:]])) for i, words in enumerate(base)]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before, kept = set(shared.iterdir()), {k: spark.conf.get(k) for k in jaccard.SETTINGS}
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    made = [p for p in set(shared.iterdir()) - before if p.name.split("-")[0] in ("sets", "pairs")]
+    assert made == []
+    assert {k: spark.conf.get(k) for k in jaccard.SETTINGS} == kept
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 100 for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 100 for i, _ in rows}  # read twice
