@@ -253,21 +253,19 @@ def generate(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], fl
         if total <= bound * (1 + max(GAP, 0.5 / bound)):
             break
         gains = mixed + value[capacity - classes]
-        moved, seen = False, set()
-        chosen = np.argsort(-gains, kind="stable")[: max(8, m // 8)]
+        moved, chosen = False, np.argsort(-gains, kind="stable")[: max(8, m // 8)]
         taken = _all_taken(last, capacity - classes[chosen])
         taken[np.arange(len(chosen)), classes[chosen]] += 1
+        first = {row.tobytes(): i for i, row in reversed(list(enumerate(taken)))}  # each pattern at its first place
+        taken = taken[sorted(first.values())]
         times, at = taken[:, classes].astype(np.float64), 0
-        while at < len(chosen):
+        while at < len(taken):
             # the next that may gain with the duals as they are; the step itself decides
             hopeful = np.flatnonzero(1.0 - times[at:] @ dual <= -HOPE)
             if not len(hopeful):
                 break
             at += int(hopeful[0])
-            key = taken[at].tobytes()
-            if key not in seen:
-                seen.add(key)
-                moved |= step({int(w): int(taken[at, w]) for w in np.flatnonzero(taken[at])}, 1.0)
+            moved |= step({int(w): int(taken[at, w]) for w in np.flatnonzero(taken[at])}, 1.0)
             at += 1
         if not moved and part == 0.0:
             break
