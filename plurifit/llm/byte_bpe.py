@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pack, text_of, unpack
+from .common import in_task, pack, text_of, unpack
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000
@@ -177,9 +177,10 @@ def _reassemble(docs: pa.Table, words: pa.Table, schema: pa.Schema, keep_ids: bo
     if len(order) and not np.array_equal(number[order], np.arange(len(order))):
         raise RuntimeError("a block came back with other pre-tokens: its input is not the same when read again")
     counts = np.concatenate([p[1] for p in parts]).astype(np.int64)[order] if parts else np.empty(0, np.int64)
-    ids = [i for p in parts for i in _lists(p[2], p[1])]
+    ids = [i for p in parts for i in _lists(p[2], p[1])] if keep_ids else []
     raw = [b for p in parts for b in _slices(p[4], p[3])]
-    digits = [b",".join(b"%d" % i for i in ids[k]) for k in order]
+    digits = [b",".join([b"%d" % i for i in own]) for p in parts for own in _lists(p[2], p[1])]  # the lists themselves are not kept: there is one for each word
+    digits = [digits[k] for k in order]
     raw = [raw[k] for k in order]
     crc, made = 0, []
     keys, places, packed = (docs.column(c).to_pylist() for c in ("key", "place", "packed"))
@@ -222,8 +223,8 @@ def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_
         T.StructField("packed", T.BinaryType()), T.StructField("crc", T.LongType()),
     ])
     arrow_positions = to_arrow_schema(position_schema)
-    positions = rows.mapInArrow(lambda b: _position_rows(b, arrow_positions), position_schema)
-    words = rows.mapInArrow(_word_rows, "word string, block long, number int")
+    positions = rows.mapInArrow(in_task(lambda b: _position_rows(b, arrow_positions)), position_schema)
+    words = rows.mapInArrow(in_task(_word_rows), "word string, block long, number int")
     encoded = words.repartition("word").mapInArrow(lambda b: _encoded_rows(b, ranks_file), "block long, packed binary")
 
     out = [T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -395,3 +395,25 @@ def test_near_duplicates_leaves_neither_sets_nor_shuffles_behind(spark):
     assert {k: spark.conf.get(k) for k in jaccard.SETTINGS} == kept
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 100 for i, _ in rows}
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i % 100 for i, _ in rows}  # read twice
+
+
+def test_pipeline_sends_few_texts_at_a_time(spark, table, labels, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    table.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i", "one two three four five six seven")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    name, written = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, whole = spark.conf.get(name), corpus_pipeline.materialise
+
+    def recorded(df, what):
+        written[what] = spark.conf.get(name)
+        return whole(df, what)
+
+    monkeypatch.setattr(corpus_pipeline, "materialise", recorded)
+    docs = corpus_pipeline.documents(spark, folder)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_contaminated, corpus_pipeline.mask_personal_data):
+        stage(spark, docs, folder)
+    assert {"contaminated": "500", "masked": "500"}.items() <= written.items()
+    assert set(written.values()) == {"500"} and spark.conf.get(name) == before
