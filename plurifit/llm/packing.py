@@ -17,28 +17,27 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import broadcast_if_small
 from ..session import materialise
-from .common import WORDS, text_of, use_package
+from .common import ranges, text_of, use_package
 
 CAPACITY = 2048
 CLASS = 4
-END_BYTES = np.array([1], "<u4").tobytes()
+END = np.array([1], "<u4")
 MEMO_BYTES = 150_000_000
 WORDS_A_CALL = 1000
 # Texts of these letters mean the same in lower case to the tokenizer, which composes characters and lowers them one by one.
 _LATIN = re.compile("[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]*")
 TOKENIZER = "word_bpe_49k.json"
-BATCH_CHARS = 500_000
+BATCH_CHARS = 3_000_000
 OFFSET_ROWS = 200_000
 STEADY = 0.7
 HOPE = 0.9e-9  # gain below which a pattern is not tried; a step asks for more
@@ -48,11 +47,9 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 CLOSING = ".,;:!?#*$%&"  # marks that are cut off the end of a word by the tokenizer as well
 
 
-def _words(text: str) -> list[str]:
-    """Stretches without white space of ASCII."""
-    if _LATIN.fullmatch(text):
-        return (text if "<|" in text else text.lower()).split()
-    return WORDS.findall(text)
+def _lowered(text: str) -> str:
+    """The text in lower case where that means the same."""
+    return text.lower() if "<|" not in text and _LATIN.fullmatch(text) else text
 
 
 class WordIds(dict):
@@ -65,25 +62,36 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.held = Tokenizer.from_file(path), 0
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # for words of letters in lower case, which the other steps of the tokenizer leave as they are
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def of(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of every text."""
-        words = [_words(t) for t in texts]
+        """Ids of every text. Only distinct words of the texts become Python strings."""
+        cut = pc.ascii_split_whitespace(pa.array(map(_lowered, texts), pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         if self.held > MEMO_BYTES:
             self.clear()
             self.held = 0
-        self._learn([w for w in set(chain.from_iterable(words)) if w not in self])
-        for ws in words:
-            found = itemgetter(*ws)(self) if len(ws) > 1 else map(self.__getitem__, ws)  # all words of a text in one call
-            yield np.frombuffer(b"".join((*found, END_BYTES)), "<u4")
+        found = list(map(self.get, words))
+        new = [i for i, known in enumerate(found) if known is None]
+        self._learn([words[i] for i in new if words[i]])
+        for i in new:
+            found[i] = self.get(words[i], b"")  # a text may begin or end with an empty word
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")[ranges((np.cumsum(size) - size)[code], size[code])]
+        ends = np.append(0, np.cumsum(size[code]))[cut.offsets.to_numpy()].tolist()
+        for a, b in zip(ends, ends[1:]):
+            yield np.concatenate((ids[a:b], END))
 
     def _learn(self, words: list[str]) -> None:
         """Adds new words; closing marks are cut off first and their ids added.
@@ -100,11 +108,12 @@ class WordIds(dict):
             new.append(w)
         parts = {p for w, core in closed.items() for p in (core, w[len(core) :])}
         new = [p for p in parts.union(new) if p not in self]
-        plain = [w for w in new if w.isalpha() and _LATIN.fullmatch(w)]
-        other = list(set(new).difference(plain))
+        plain, other = [], []
+        for p in new:
+            (plain if p.isalpha() and (p.isascii() or _LATIN.fullmatch(p)) else other).append(p)
         for at in range(0, len(plain), WORDS_A_CALL):
             part = plain[at : at + WORDS_A_CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(part):
                 other += part

@@ -215,3 +215,23 @@ def test_words_with_marks_are_learned_in_joint_calls():
     found = [ids.tolist() for ids in words.of(texts)]
     assert found == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     assert not any(w in calls for w in ("alpha###", "beta***", "alpha", "beta"))  # no call of their own
+
+
+def test_packing_looks_distinct_words_up_once():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    looked = []
+
+    class Counted(packing.WordIds):
+        def get(self, word, *other):
+            looked.append(word)
+            return super().get(word, *other)
+
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    words = Counted(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["alpha beta " * 500, "", " \t", " Beta\x0b alpha\n" * 500]
+    library = words.tokenizer
+    assert [ids.tolist() for ids in words.of(texts)] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert 0 < len(looked) < 20
