@@ -16,7 +16,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +71,7 @@ EMPTY = "array<struct<start:int,end:int,kind:string,value:string>>"
 def with_spans(df: DataFrame, text: Column) -> DataFrame:
     """``base`` spans in order of start and kind, and ``runs``: candidates that touch none of them."""
     none = F.array().cast(EMPTY)
-    low = F.lower(text)
-    named = F.lit(False)
-    for word in KEYWORDS:
-        named = named | low.contains(word)
+    named = _let(F.lower(text), lambda low: reduce(or_, [low.contains(word) for word in KEYWORDS]))  # lowered once, not for each word
     out = df.withColumn("_assign_", F.when(named, _matches(text, ASSIGN, "assign", 2, 6)).otherwise(none))
     out = out.withColumn("_access_", F.when(text.contains("AKIA"), _matches(text, ACCESS, "access")).otherwise(none))
     out = out.withColumn("_hex_", F.when(text.rlike(HEX), _matches(text, HEX, "hex")).otherwise(none))
@@ -107,9 +105,8 @@ def encoding_size(bare: Column) -> Column:
 
 def _codes(bare: Column, size: Column) -> Column:
     """Place of every symbol in its alphabet."""
-    return _let(F.when(size == 32, F.lit(BASE32)).otherwise(F.lit(ALPHABET)), lambda alphabet: _let(size == 16, lambda hexes: F.transform(
-        F.split(bare, ""), lambda c: F.instr(alphabet, F.when(hexes, F.lower(c)).otherwise(c)) - 1
-    )))
+    symbols = F.split(F.when(size == 16, F.lower(bare)).otherwise(bare), "")
+    return _let(F.when(size == 32, F.lit(BASE32)).otherwise(F.lit(ALPHABET)), lambda alphabet: F.transform(symbols, lambda c: F.instr(alphabet, c) - 1))
 
 
 def _worst(v: Column, size: Column, high: Column, sums: Column, variance: Column) -> Column:
@@ -170,7 +167,8 @@ def ordinary_parts(text: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, span: Column) -> Column:
-        part = F.regexp_replace(F.substring(text, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0))), "[^A-Za-z0-9+/]", "")
+        gap = F.substring(text, s["at"] + 1, F.greatest(span["start"] - s["at"], F.lit(0)))
+        part = F.array_join(F.regexp_extract_all(gap, F.lit("[A-Za-z0-9+/]+"), F.lit(0)), "")  # taking out what stays is cheaper than replacing the rest
         return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["parts"], F.array(part)).alias("parts"))
 
     return F.filter(F.aggregate(ends, start, step, lambda s: s["parts"]), lambda part: F.length(part) >= LENGTHS[0])
@@ -179,49 +177,96 @@ def ordinary_parts(text: Column) -> Column:
 def null_runs(texts: DataFrame) -> DataFrame:
     """(class, run): every consecutive stretch of each class in the ``parts`` of every distinct text.
 
-    ``texts`` has (digest, place, parts); of rows of one digest the one with the least place counts.
+    ``texts`` has (digest, place, parts); of rows of one digest the one with the least place counts. One select for each class, so a filter on the
+    class leaves the others uncut.
     """
     least = texts.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     once = texts.join(broadcast_if_small(least, BROADCAST_DIGESTS), "digest", "left").filter("first IS NULL OR place = first")
 
-    def stretches(n: int) -> Column:
+    def stretches(n: int) -> DataFrame:
         cut = F.flatten(F.transform("parts", lambda p: F.regexp_extract_all(p, F.lit(f".{{{n}}}"), F.lit(0))))
-        return F.transform(cut, lambda run: F.struct(F.lit(n).alias("class"), run.alias("run")))
+        return once.select(F.lit(n).alias("class"), F.explode(cut).alias("run"))
 
-    return once.select(F.explode(F.concat(*map(stretches, LENGTHS))).alias("r")).select("r.class", "r.run")
+    return reduce(DataFrame.unionByName, map(stretches, LENGTHS))
 
 
 def _tenths(value: Column) -> Column:
     return F.least(F.round(value * 10), F.lit(float(MOST_DEVIATE))).cast("int")
 
 
+#: Encoding → the symbols below the middle of its alphabet, as a class of a pattern.
+LOW = {10: "0-4", 16: "0-7", 32: "A-P", 62: "0-9a-u", 64: "0-9a-v"}
+
+
+def _found(run: Column, pattern: str) -> Column:
+    """Matches of a pattern in which ``%`` stands for the low symbols of the smallest encoding that holds the run."""
+    kinds, of = encoding_kinds(run), {size: pattern.replace("%", low) for size, low in LOW.items()}
+    chosen = F.when(kinds[10], of[10]).when(kinds[16], of[16]).when(kinds[32], of[32]).when(kinds[62], of[62]).otherwise(of[64])
+    return F.size(F.regexp_extract_all(run, chosen, F.lit(0)))
+
+
 def lopsided(run: Column) -> Column:
     """What the share of symbols above the middle of the alphabet adds to the deviate of a stretch: never more than the whole deviate."""
-    kinds = encoding_kinds(run)
+    n = F.length(run).cast("double")
+    return _tenths(F.abs(_found(run, "[^%]") * 2.0 - n) / F.sqrt(n))
 
-    def ups(low: str) -> Column:
-        return F.length(F.translate(run, low, ""))
 
-    count = F.when(kinds[10], ups(ALPHABET[:5])).when(kinds[16], ups(ALPHABET[:8])).when(kinds[32], ups(BASE32[:16])).when(kinds[62], ups(ALPHABET[:31]))
-    n = F.length(run).cast("double")
-    return _tenths(F.abs(count.otherwise(ups(ALPHABET[:32])) * 2.0 - n) / F.sqrt(n))
+def _times(run: Column, symbol: Column) -> Column:
+    return F.length(run) - F.length(F.replace(run, symbol, F.lit("")))
 
 
 def uneven(run: Column) -> Column:
     """What the chi-squared test adds to the deviate of a stretch."""
     n = F.length(run)
-
-    def square(c: Column) -> Column:
-        count = (n - F.length(F.replace(run, c, F.lit("")))).cast("double")
-        return F.pow(count, F.lit(2.0))
-
     # symbols are counted in the string itself: an array would be copied for each of them
-    squares = F.aggregate(F.array_distinct(F.split(run, "")), F.lit(0.0), lambda s, c: s + square(c))
+    squares = F.aggregate(F.array_distinct(F.split(run, "")), F.lit(0.0), lambda s, c: s + F.pow(_times(run, c).cast("double"), F.lit(2.0)))
 
     # bound first: a filter would work out the encoding anew at every mention
     return _let(encoding_size(run), lambda size: _tenths(_normal_of_chi(squares * size / n - n, size - 1.0)))
 
 
+def most_squares(n: int, limit: int) -> float:
+    """No sum of squared counts beyond this has an ``uneven`` within the limit, in the two widest encodings."""
+
+    def most(size: int) -> float:
+        share = 2.0 / (9.0 * (size - 1))
+        return ((size - 1) * (1.0 - share + (limit + 0.5) / 10 * share**0.5) ** 3 + n) * n / size
+
+    return max(most(62), most(64)) + 1.0
+
+
+def plainly_uneven(run: Column, most: Column) -> Column:
+    """Whether the counts of a few symbols alone bring the sum of squares beyond ``most``: each of the others adds its count or more.
+
+    Symbols that are frequent in many languages find most of such stretches; no other is found. Only the two widest encodings hold g-z.
+    """
+    # (c - 1/2)^2 - 1/4 is c^2 - c with the count worked out once
+    known = reduce(add, [F.pow(_times(run, F.lit(c)) - 0.5, F.lit(2.0)) - 0.25 for c in "etaoinsh"])
+    return (known + F.length(run) > most) & run.rlike("[g-z]")
+
+
+def stretch_deviate(run: Column) -> Column:
+    """``deviate`` of a stretch of letters and digits, at least 8, without the chi-squared test: what runs, serial correlation and lopsidedness give."""
+    n = F.length(run).cast("double")
+    ups = _found(run, "[^%]").cast("double")
+    changes = (_found(run, "[^%]+") + _found(run, "[%]+") - 1).cast("double")  # one between any two stretches of a side
+
+    def runs(s: Column) -> Column:
+        expected = 2.0 * s["ups"] * (n - s["ups"]) / n
+        return F.abs(s["changes"] - expected) / F.sqrt(F.greatest(expected * (expected - 1.0) / (n - 1.0), F.lit(0.25)))
+
+    def serial(away: Column) -> Column:
+        variance = F.greatest(F.aggregate(away, F.lit(0.0), lambda s, x: s + x * x), F.lit(1e-9))
+        lag = F.aggregate(F.sequence(F.lit(1), F.size(away) - 1), F.lit(0.0), lambda s, i: s + F.get(away, i) * F.get(away, i - 1)) / variance
+        return F.abs(lag + 1.0 / n) * F.sqrt(n)
+
+    def from_mean(v: Column) -> Column:
+        return _let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n, lambda mean: F.transform(v, lambda x: x - mean))
+
+    correlated = _let(encoding_size(run), lambda size: _let(_codes(run, size), lambda v: _let(from_mean(v), serial)))
+    return F.greatest(_tenths(_let(F.struct(ups.alias("ups"), changes.alias("changes")), runs)), _tenths(correlated), lopsided(run))
+
+
 def null_counts(stretches: DataFrame, candidates: DataFrame, rate: float = DISCOVERY_RATE) -> DataFrame:
     """(class, deviate, nulls) from all stretches (class, run), exact wherever it decides on a candidate; no rows for classes without one.
 
@@ -253,9 +298,12 @@ def null_counts(stretches: DataFrame, candidates: DataFrame, rate: float = DISCO
     while open_:
         limit = {c: limit_at(c, share) for c in open_}
         at_most = F.coalesce(*[F.when(F.col("class") == c, d) for c, d in limit.items()])
-        near = runs.filter(F.col("class").isin(sorted(open_))).filter(lopsided(F.col("run")) <= at_most).filter(uneven(F.col("run")) <= at_most)
+        squares = F.coalesce(*[F.when(F.col("class") == c, most_squares(c, d)) for c, d in limit.items()])
+        near = runs.filter(F.col("class").isin(sorted(open_))).filter(lopsided(F.col("run")) <= at_most).filter(~plainly_uneven(F.col("run"), squares))
+        # exploded, so that it is not worked out in the filter and again after it
+        near = near.select("class", "run", F.explode(F.array(uneven(F.col("run")))).alias("uneven")).filter(F.col("uneven") <= at_most)
         counted: dict[int, dict[int, int]] = {c: {} for c in open_}
-        for r in near.select("class", deviate(F.col("run")).alias("deviate")).groupBy("class", "deviate").count().collect():  # as above
+        for r in near.select("class", F.greatest("uneven", stretch_deviate(F.col("run"))).alias("deviate")).groupBy("class", "deviate").count().collect():  # as above
             if r["deviate"] <= limit[r["class"]]:
                 counted[r["class"]][r["deviate"]] = r["count"]
         for c in sorted(open_):

@@ -29,3 +29,27 @@ def test_shingle_sets_of_many_texts():
     for i, a in enumerate(ODD):
         for j, b in enumerate(ODD):
             assert len(np.intersect1d(sets[i], sets[j])) == len(plain(a) & plain(b))
+
+
+def test_deviate_of_stretches(spark):
+    rng = random.Random(8)
+    alphabets = ["0123456789", "0123456789abcdef", "0123456789ABCDEF", secrets.BASE32, secrets.ALPHABET[:62], secrets.ALPHABET, "etaoinshr", "vwxyzAB", "ab"]
+    runs = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in secrets.LENGTHS for _ in range(6)] + ["a" * 20, "uv" * 12, "A7" * 16, "vw+/" * 8]
+    run = F.col("run")
+    frame = spark.createDataFrame([(r,) for r in runs], "run string").select(
+        "run", secrets.deviate(run).alias("whole"), secrets.uneven(run).alias("uneven"), secrets.stretch_deviate(run).alias("rest"))
+    rows = frame.cache().collect()
+    assert all(r["whole"] == max(r["uneven"], r["rest"]) for r in rows)
+    found = 0
+    for n in secrets.LENGTHS:
+        for limit in (5, 20, 40, 60):
+            cut = frame.filter(F.length("run") == n).filter(secrets.plainly_uneven(run, F.lit(secrets.most_squares(n, limit)))).collect()
+            assert all(r["uneven"] > limit for r in cut)
+            found += len(cut)
+    assert found
+
+
+def test_null_runs_of_unwanted_classes_are_not_cut(spark):
+    texts = spark.createDataFrame([("d", 0, ["abcdefghij" * 10])], "digest string, place long, parts array<string>")
+    plan = secrets.null_runs(texts).filter(F.col("class").isin([20]))._jdf.queryExecution().optimizedPlan().toString()
+    assert ".{20}" in plan and ".{24}" not in plan and ".{96}" not in plan
