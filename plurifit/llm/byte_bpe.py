@@ -21,6 +21,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_task, pack, text_of, unpack
+from .common import in_task, pack, ranges, text_of, unpack
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000
 BLOCK_WORDS = 500_000
+MEMO_WORDS = 50_000
 
 # The published pattern with its letter, digit and space classes written out for texts of ASCII and Latin letters.
 # Such texts are cut by the faster standard module, all others by the pattern itself; both give the same pieces.
@@ -101,41 +103,43 @@ class Numbers(dict):
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]):
-    """Runs of documents: (block, [(key, numbers)], distinct pre-tokens, checksum of the bytes)."""
+    """Documents of each batch by block: (block, [(key, numbers, checksum of the block's bytes so far)], distinct pre-tokens so far, whether the block ends)."""
     part, n = TaskContext.get().partitionId(), 0
     numbers, rows, chars, crc = Numbers(), [], 0, 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append((key, np.fromiter(map(numbers.__getitem__, pieces(text)), np.uint32)))
-            chars += len(text)
             crc = zlib.crc32(text.encode(), crc)
+            rows.append((key, np.fromiter(map(numbers.__getitem__, pieces(text)), np.uint32), crc))
+            chars += len(text)
             if chars >= BLOCK_CHARS or len(numbers) >= BLOCK_WORDS:
-                yield part << 32 | n, rows, numbers, crc
+                yield part << 32 | n, rows, numbers, True
                 numbers, rows, chars, crc, n = Numbers(), [], 0, 0, n + 1
-    if rows:
-        yield part << 32 | n, rows, numbers, crc
-
+        if rows:
+            yield part << 32 | n, rows, numbers, False
+            rows = []
+    yield part << 32 | n, rows, numbers, True
 
 
 def _position_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for block, rows, _, crc in _blocks(batches):
-        for at in range(0, len(rows), 2000):
-            some = rows[at : at + 2000]
+    at = 0
+    for block, rows, _, ended in _blocks(batches):
+        if rows:
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([block] * len(some), pa.int64()), pa.array([k for k, _ in some], schema.field("key").type),
-                    pa.array(range(at, at + len(some)), pa.int64()), pa.array([pack(ids) for _, ids in some], pa.binary()),
-                    pa.array([crc] * len(some), pa.int64()),
+                    pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _, _ in rows], schema.field("key").type),
+                    pa.array(range(at, at + len(rows)), pa.int64()), pa.array([pack(ids) for _, ids, _ in rows], pa.binary()),
+                    pa.array([crc for _, _, crc in rows], pa.int64()),
                 ],
                 schema=schema,
             )
+        at = 0 if ended else at + len(rows)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, _, numbers, _ in _blocks(batches):
-        words = list(numbers)
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+    for block, _, numbers, ended in _blocks(batches):
+        words = iter(numbers)
+        for at in range(0, len(numbers), 20_000) if ended else ():
+            some = list(islice(words, 20_000))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(some, pa.string()), pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32))],
                 names=["word", "block", "number"],
@@ -153,7 +157,7 @@ def _encoded_rows(batches: Iterator[pa.RecordBatch], ranks_file: str) -> Iterato
             if entry is None:
                 ids = codec.encode(word)
                 entry = memo[word] = (ids, codec.decode(ids))
-                if len(memo) > 200_000:
+                if len(memo) > MEMO_WORDS:
                     memo.clear()
             entries.append(entry)
         order = np.argsort(blocks, kind="stable")
@@ -171,42 +175,35 @@ def _encoded_rows(batches: Iterator[pa.RecordBatch], ranks_file: str) -> Iterato
 
 
 def _reassemble(docs: pa.Table, words: pa.Table, schema: pa.Schema, keep_ids: bool) -> pa.Table:
+    """Ids and bytes of all pre-tokens of the block lie in one array each; a document is gathered from them by its positions."""
     parts = [unpack(b) for b in words.column("packed").to_pylist()]
-    number = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint32)
+    number, counts, ids, sizes, raw = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint32) for k in range(5))
+    del parts
     order = np.argsort(number, kind="stable")
     if len(order) and not np.array_equal(number[order], np.arange(len(order))):
         raise RuntimeError("a block came back with other pre-tokens: its input is not the same when read again")
-    counts = np.concatenate([p[1] for p in parts]).astype(np.int64)[order] if parts else np.empty(0, np.int64)
-    ids = [i for p in parts for i in _lists(p[2], p[1])] if keep_ids else []
-    raw = [b for p in parts for b in _slices(p[4], p[3])]
-    digits = [b",".join([b"%d" % i for i in own]) for p in parts for own in _lists(p[2], p[1])]  # the lists themselves are not kept: there is one for each word
-    digits = [digits[k] for k in order]
-    raw = [raw[k] for k in order]
+    (id_at, counts), (raw_at, sizes) = (((np.cumsum(c) - c)[order], c[order]) for c in (counts.astype(np.int64), sizes.astype(np.int64)))
+    decimals = _decimals(int(ids.max()) if len(ids) else 0)
     crc, made = 0, []
-    keys, places, packed = (docs.column(c).to_pylist() for c in ("key", "place", "packed"))
+    keys, places, packed, crcs = (docs.column(c).to_pylist() for c in ("key", "place", "packed", "crc"))
     for i in sorted(range(len(places)), key=places.__getitem__):
-        seq = unpack(packed[i])[0].tolist()
-        try:
-            data = b"".join([raw[k] for k in seq])
-        except IndexError:
-            raise RuntimeError("a block came back with other pre-tokens: its input is not the same when read again") from None
+        seq = unpack(packed[i])[0]
+        if len(seq) and int(seq.max()) >= len(order):
+            raise RuntimeError("a block came back with other pre-tokens: its input is not the same when read again")
+        own = ids[ranges(id_at[seq], counts[seq])]
+        data = raw[ranges(raw_at[seq], sizes[seq])].tobytes()
         crc = zlib.crc32(data, crc)
-        row = [keys[i], int(counts[seq].sum()) if seq else 0, hashlib.sha256(b",".join([digits[k] for k in seq])).hexdigest(), hashlib.sha256(data).hexdigest()]
-        made.append(row + ([[t for k in seq for t in ids[order[k]]]] if keep_ids else []))
-    if len(docs) and crc != docs.column("crc")[0].as_py():
-        raise RuntimeError("decoded bytes differ from the text: its input is not the same when read again")
+        if crc != crcs[i]:
+            raise RuntimeError("decoded bytes differ from the text: its input is not the same when read again")
+        digits = decimals[own].ravel()
+        row = [keys[i], len(own), hashlib.sha256(digits[digits != 0].tobytes()[:-1]).hexdigest(), hashlib.sha256(data).hexdigest()]
+        made.append(row + ([own.tolist()] if keep_ids else []))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made) if made else [[]] * len(schema), schema)], schema=schema)
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray):
-    ends = np.cumsum(counts.astype(np.int64))
-    values = flat.tolist()
-    return (values[e - c : e] for e, c in zip(ends.tolist(), counts.tolist()))
-
-
-def _slices(flat: np.ndarray, sizes: np.ndarray):
-    data, ends = flat.tobytes(), np.cumsum(sizes.astype(np.int64))
-    return (data[e - c : e] for e, c in zip(ends.tolist(), sizes.tolist()))
+def _decimals(most: int) -> np.ndarray:
+    """Digits and a comma of every number up to ``most``, zeros behind."""
+    return np.array([b"%d," % i for i in range(most + 1)]).view(np.uint8).reshape(most + 1, -1)
 
 
 def encode_decode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_file: str = RANKS_FILE, keep_ids: bool = False) -> DataFrame:
