@@ -1,6 +1,6 @@
 """Plans that must stay as they are: what is read, what is moved."""
 
-from plurifit.operators import fingerprint, sampling
+from plurifit.operators import balance, fingerprint, sampling
 from plurifit.session import scratch_path
 from plurifit.sources import sinks, tables
 
@@ -36,3 +36,18 @@ def test_one_family_reads_one_partition(spark):
     sinks.write_fingerprints(fingerprint.fingerprints(stored(spark), ["MACCS", "Pattern"]), path)
     text = plan(tables.fingerprints(spark, path, "Pattern").select("row_id"))
     assert "PartitionFilters: [isnotnull(fp" in text and "bits" not in text.split("ReadSchema")[1]
+
+
+def test_balancing_sends_no_draws_or_vectors_to_the_driver(spark):
+    """Whatever grows with the data is joined by shuffles; run first, as small results turn joins into broadcasts while they run."""
+    df = spark.range(400).selectExpr("'a' AS assay", "id AS row_id", "int(id % 9 = 0) AS hit", "array(int(id % 5), int(5 + id % 7), int(12 + id % 11)) AS bits")
+    made = balance.synthetic_rows(df, ["assay"], width=24)
+    assert len(made.collect()) == 310
+    sent, depth = [], None
+    for line in plan(made).split("+- == Initial Plan ==")[0].split("== Initial Plan ==")[0].splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        depth = at if depth is None and "BroadcastExchange" in line else depth
+        if depth is not None:
+            sent.append(line)
+    assert not [line for line in sent if any(f"{c}#" in line for c in ("draw", "bits", "words", "neighbours"))]
