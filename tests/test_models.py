@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -364,3 +365,52 @@ def test_forest_rows_with_the_same_bits_are_grown_once():
     for one, other in zip(forest_kernels.grow(x, hit, weight, start, rule), forest_kernels.grow_packed(distinct, packed, start, rule)):
         assert one.tolist() == other.tolist()
     assert forest.ROWS_PER_TASK == 2**17  # sums of more rows would not be exact
+
+
+def counted_over_all_bits(x, packed, node, rule):
+    """Growth that sums every bit of every node, level by level."""
+    slot, ids = np.zeros(len(x), np.int64), np.array([node], np.uint64)
+    bits, first, shares, made = [], [], [], 1
+    while len(ids):
+        every = np.stack([np.r_[packed[slot == k] @ x[slot == k], packed[slot == k].sum()] for k in range(len(ids))]).astype(np.int64)
+        sums = every >> 36, (every >> 18) & 0x3FFFF, every & 0x3FFFF
+        best = forest_kernels.choose(rule, ids, *sums)
+        split, rank = best >= 0, np.cumsum(best >= 0) - 1
+        bits.append(best), shares.append(forest_kernels.share_of(sums[2][:, -1], sums[1][:, -1]))
+        first.append(np.where(split, made + 2 * rank, -1))
+        made += 2 * int(split.sum())
+        live = np.flatnonzero(slot >= 0)
+        at = slot[live]
+        slot[live] = np.where(split[at], 2 * rank[at] + x[live, np.maximum(best[at], 0)], -1)
+        ids = np.stack(forest_kernels.children(ids[split]), axis=1).ravel()
+    return [np.concatenate(a).tolist() for a in (bits, first, shares)]
+
+
+@pytest.mark.parametrize("features", [1, 3, WIDTH])
+def test_forest_counts_drawn_bits_only_and_grows_need_once(monkeypatch, features):
+    rng = np.random.default_rng(features)
+    x = (rng.random((300, WIDTH)) < 0.3).astype(np.uint8)
+    hit, weight, start = rng.integers(0, 2, 300), rng.integers(1, 4, 300), int(forest_kernels.root(5, 7)[0])
+    distinct, which = forest_kernels.distinct_rows(x)
+    packed = np.bincount(which, forest_kernels.packed_draws(hit, weight), len(distinct))
+    rules = [{"features": features, "leaf": leaf, "need": need} for leaf, need in ((1, 2), (1, 4), (3, 6), (1, 9))]
+    with monkeypatch.context() as m:
+        m.setattr(forest_kernels, "choose", lambda *_: pytest.fail("every bit of a node was counted"))
+        grown = [[a.tolist() for a in forest_kernels.grow_packed(distinct, packed, start, rule)] for rule in rules]
+    assert grown == [counted_over_all_bits(distinct, packed, start, rule) for rule in rules]
+
+    calls, real = [], forest_kernels.grow_counted
+    monkeypatch.setattr(forest_kernels, "grow_counted", lambda *a: calls.append(a[3]) or real(*a))
+    rows = pa.RecordBatch.from_pydict({
+        "problem": pa.array([0] * 300, pa.int32()), "share": pa.array([0] * 300, pa.int32()), "row_id": pa.array(range(300)), "hit": pa.array(hit, pa.int32()),
+        "train": pa.array([True] * 300), "bits": pa.array([np.flatnonzero(r).tolist() for r in x], pa.list_(pa.int32())),
+    })
+
+    def shares(rules):
+        pairs = [(rule, tree, 0) for tree in range(3) for rule in range(len(rules))]
+        found = forest_kernels.whole_forests(pairs, rules, [list(range(len(pairs)))], WIDTH, 7, True)([rows])
+        return {pairs[b.column("pair")[0].as_py()][0]: b.column("share").to_pylist() for b in found}
+
+    together = shares(rules)
+    assert len(calls) == 3 * 2
+    assert [together[i] for i in range(4)] == [shares([rule])[0] for rule in rules]
