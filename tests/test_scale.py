@@ -177,3 +177,46 @@ def test_rounds_over_distinct_bit_sets_are_those_over_rows(monkeypatch, cells, m
                     break
             margin = margin + value[0, joint_kernels.walk(x, bit, rule["depth"])[:, 0]]
         assert np.array_equal(trees[i][0], bit[0]) and margins[of][:, i] == pytest.approx(margin, abs=1e-9)
+
+
+def test_boosting_adds_up_smaller_halves_only(monkeypatch):
+    """A level adds up at most half of the rows of its nodes; what is left of the parent is the same number as the sum over the rows."""
+    monkeypatch.setattr(joint_kernels, "PORTION", 37)
+    rng = np.random.default_rng(8)
+    x = np.unique((rng.random((900, WIDTH)) < 0.4).astype(np.uint8), axis=0)
+    hit, train = (rng.random(len(x)) < 0.2 + 0.6 * x[:, 5]).astype(np.uint8), np.arange(len(x)) % 7 > 0
+    block = {"n": len(x), "hit": hit.tobytes(), "train": train.astype(np.uint8).tobytes(), "bits": np.packbits(x, axis=1).tobytes(), "margins": np.full((len(x), 1), -0.1).tobytes()}
+    rules = [joint.rule_of("gbt", {"learning_rate": 0.2, "max_depth": 6}), joint.rule_of("xgb", {"max_depth": 6, "gamma": 0.0, "min_child_weight": 1})]
+    added, real, chosen = [], joint_kernels._Histograms.many, joint_kernels.choose
+
+    def many(self, slot, stats, n_nodes):
+        added.append(int((slot >= 0).sum()))
+        found = real(self, slot, stats, n_nodes)
+        for k in range(n_nodes):
+            assert np.array_equal(found[k], stats[:, slot == k] @ self.x[: len(slot)][slot == k].astype(float))
+        return found
+
+    levels = []
+    monkeypatch.setattr(joint_kernels._Histograms, "many", many)
+    monkeypatch.setattr(joint_kernels, "choose", lambda rule, sums: levels.append(sums) or chosen(rule, sums))
+    *_, (_, trees, _, _, margins, of) = joint_kernels._rounds(rules, WIDTH, 2, [0, 1], [block])
+    assert added and max(added) <= train.sum() / 2
+    assert all((s[:, 0] >= 0).all() and s[:, 0, -1].sum() <= train.sum() for s in levels)
+    for i, (bit, value) in enumerate(trees):
+        assert np.isfinite(margins[of][:, i]).all() and (bit >= 0).sum() > 7
+
+
+def test_boosted_problems_of_some_blocks_stay_whole(parts, monkeypatch):
+    """Up to ``WHOLE_BOOSTED`` times the rows of a task no job per level is needed, and the blocks hold no margins of candidates."""
+    params = [{"learning_rate": r, "n_estimators": 3, "max_depth": 3} for r in (0.05, 0.1)]
+    expected = joint.search_boosted(parts, ["assay", "fp"], "gbt", params, WIDTH).orderBy("param_idx").collect()
+    monkeypatch.setattr(joint, "ROWS_PER_TASK", 100)
+
+    def refused(*_, **__):
+        raise AssertionError("a level was a job of its own")
+
+    made, real = [], joint.kernels.make_blocks
+    monkeypatch.setattr(joint.kernels, "make_blocks", lambda width, base, candidates: made.append(candidates) or real(width, base, candidates))
+    monkeypatch.setattr(joint, "boost", refused)
+    assert joint.search_boosted(parts, ["assay", "fp"], "gbt", params, WIDTH).orderBy("param_idx").collect() == expected
+    assert made == [1]
